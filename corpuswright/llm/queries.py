@@ -1,0 +1,24 @@
+"""Queries of the training-data operators: each runs over its whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corpuswright.llm import contamination, shared_spans
+from corpuswright.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.shared_spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p7_found, p8_found)}
+ORACLES: dict[str, str] = {}

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuswright.llm import contamination, near_duplicates, shared_spans
+from corpuswright.llm import contamination, near_duplicates, shared_spans, survivors
 from corpuswright.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.survivors(table(spark, sf_dir, "patents"), table(spark, sf_dir, "patent_sources"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(table(spark, sf_dir, "papers"), n=3, threshold=0.5)
 
@@ -28,5 +32,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_groups, p7_found, p8_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_groups, p7_found, p8_found)}
 ORACLES: dict[str, str] = {}

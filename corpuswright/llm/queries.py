@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuswright.llm import contamination, near_duplicates, shared_spans, survivors
-from corpuswright.session import table
+from corpuswright.llm import contamination, near_duplicates, packing, shared_spans, survivors
+from corpuswright.session import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,21 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "papers"))
 
 
+def p6_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = materialise(packing.token_counts(table(spark, sf_dir, "documents")), "tokens")
+    return packing.pack(counts, table(spark, sf_dir, "token_windows"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the windows of each capacity are."""
+    size = F.sum(F.col("end_token") - F.col("start_token"))
+    used = p6_assignment(spark, sf_dir).groupBy("window_id", "bin_id").agg(size.alias("tokens"))
+    totals = used.groupBy("window_id").agg(F.count("*").alias("bins"), F.sum("tokens").alias("tokens"))
+    caps = table(spark, sf_dir, "token_windows").select("window_id", "window_name", "capacity_tokens")
+    share = F.col("tokens") / (F.col("bins") * F.col("capacity_tokens"))
+    return totals.join(F.broadcast(caps), "window_id").select("window_id", "window_name", "bins", "tokens", share.alias("fill"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -32,5 +48,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_groups, p7_found, p8_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_groups, p6_assignment, p6_fill, p7_found, p8_found)}
 ORACLES: dict[str, str] = {}

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuswright.llm import contamination, near_duplicates, packing, shared_spans, survivors
+from corpuswright.llm import boilerplate, contamination, near_duplicates, packing, shared_spans, survivors
 from corpuswright.session import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.outside_lines(table(spark, sf_dir, "paper_sections").where("captured_from = 'web_page'"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.survivors(table(spark, sf_dir, "patents"), table(spark, sf_dir, "patent_sources"))
 
@@ -48,5 +52,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_groups, p6_assignment, p6_fill, p7_found, p8_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_groups, p6_assignment, p6_fill, p7_found, p8_found)}
 ORACLES: dict[str, str] = {}

@@ -76,8 +76,9 @@ def line_tokens(line: str, host: str, name: str) -> tuple[int | None, list[tuple
     parts = [pieces(s, host, name) for s in SENTENCE.split(line.strip())]
     parts = [p for p in parts if p]
     sentences = [(token("s", p), len(p)) for p in parts if len(p) > 2]
-    # four characters of a script without spaces open too many sentences alike
-    spaced = len(words) > 6 and not any(len(w) == 1 and w > "\u3000" for w in words[:4])
+    # openings stand for site statements; titles of other pages and four characters of a script
+    # without spaces open too many lines alike
+    spaced = len(words) > 6 and (END.search(line) or {":", "—"} & set(words[:4])) and not any(len(w) == 1 and w > "\u3000" for w in words[:4])
     return whole, sentences, token("o", words[:4]) if spaced else None
 
 

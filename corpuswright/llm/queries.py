@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuswright.llm import boilerplate, contamination, near_duplicates, packing, shared_spans, survivors
+from corpuswright.llm import boilerplate, contamination, name_variants, near_duplicates, packing, shared_spans, survivors
 from corpuswright.session import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,15 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "papers"))
 
 
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = name_variants.distinct_names(table(spark, sf_dir, "papers"), table(spark, sf_dir, "patents"))
+    return name_variants.entities(names, table(spark, sf_dir, "given_name_forms"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.variant_pairs(materialise(p5_entities(spark, sf_dir), "named"))
+
+
 def p6_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = materialise(packing.token_counts(table(spark, sf_dir, "documents")), "tokens")
     return packing.pack(counts, table(spark, sf_dir, "token_windows"))
@@ -52,5 +61,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_groups, p6_assignment, p6_fill, p7_found, p8_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_groups, p5_entities, p5_found, p6_assignment, p6_fill, p7_found, p8_found)}
 ORACLES: dict[str, str] = {}

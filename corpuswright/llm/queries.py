@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuswright.llm import boilerplate, contamination, name_variants, near_duplicates, packing, shared_spans, survivors
+from corpuswright.llm import boilerplate, contamination, name_variants, near_duplicates, packing, sentences, shared_spans, survivors
 from corpuswright.session import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,13 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "papers"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections = table(spark, sf_dir, "paper_sections").where(F.col("captured_from").isin("xml", "pdf"))
+    sections = sections.select(F.lit("paper_sections").alias("origin"), F.col("section_id").alias("row_id"), F.col("original_text").alias("text"))
+    extracted = table(spark, sf_dir, "extracted_sentences").select(F.lit("extracted_sentences").alias("origin"), "row_id", "text")
+    return sentences.sentences(sections.unionByName(extracted))
+
+
 def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = name_variants.distinct_names(table(spark, sf_dir, "papers"), table(spark, sf_dir, "patents"))
     return name_variants.entities(names, table(spark, sf_dir, "given_name_forms"))
@@ -61,5 +68,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_groups, p5_entities, p5_found, p6_assignment, p6_fill, p7_found, p8_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_groups, p4_found, p5_entities, p5_found, p6_assignment, p6_fill, p7_found, p8_found)}
 ORACLES: dict[str, str] = {}

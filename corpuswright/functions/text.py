@@ -96,7 +96,7 @@ def mark_sentences(text: Column) -> Column:
 
 def period_pieces(text: Column, longer_than: int = 30) -> Column:
     """Pieces between full stops, trimmed, longer than a bound."""
-    return F.filter(F.transform(F.split(text, r"\."), F.trim), lambda s: F.length(s) > longer_than)
+    return F.filter(F.transform(F.split(text, r"\."), lambda s: F.trim(s)), lambda s: F.length(s) > longer_than)
 
 
 def ascii_safe(text: Column) -> Column:

@@ -12,17 +12,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def hit(text: Column, anchor: str, match: str = "substring") -> Column:
-    """Whether lower-case text holds the anchor, as a word or as any part."""
-    if match == "word":
-        return F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "), F.lit(" ")).contains(f" {anchor.lower()} ")
-    return text.contains(anchor.lower())
+def spaced(text: Column) -> Column:
+    """Lower-case words between single blanks, a blank at either end; '  ' for null."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
 
 
 def hits(text: Column, anchors: list[str], match: str = "substring") -> Column:
-    """How many of the anchors occur; 0 for null text."""
+    """How many of the distinct anchors occur; 0 for null text.
+
+    Single words are looked up in the text's word array at once, so the text is normalised once and the
+    generated code does not grow with the list.
+    """
+    anchors = list(dict.fromkeys(a.lower() for a in anchors))
+    if match == "word":
+        single, longer = [a for a in anchors if " " not in a], [a for a in anchors if " " in a]
+        n = F.size(F.array_intersect(F.array(*[F.lit(a) for a in single]), F.split(spaced(text), " "))) if single else F.lit(0)
+        return reduce(lambda a, b: a + b, [spaced(text).contains(f" {a} ").cast("int") for a in longer], n)
     low = F.lower(F.coalesce(text, F.lit("")))
-    return reduce(lambda a, b: a + b, [hit(low, a, match).cast("int") for a in anchors], F.lit(0))
+    return reduce(lambda a, b: a + b, [low.contains(a).cast("int") for a in anchors], F.lit(0))
 
 
 def any_hit(text: Column, anchors: list[str], match: str = "substring") -> Column:
@@ -31,9 +38,11 @@ def any_hit(text: Column, anchors: list[str], match: str = "substring") -> Colum
 
 def matched(text: Column, anchors: list[str], match: str = "substring") -> Column:
     """The anchors that occur, in list order, without case and without repetition."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = F.array(*[F.when(hit(low, a, match), F.lit(a.lower())) for a in anchors])
-    return F.array_distinct(F.array_compact(found))
+    anchors = list(dict.fromkeys(a.lower() for a in anchors))
+    if match == "word" and not any(" " in a for a in anchors):
+        return F.array_intersect(F.array(*[F.lit(a) for a in anchors]), F.split(spaced(text), " "))
+    low = spaced(text) if match == "word" else F.lower(F.coalesce(text, F.lit("")))
+    return F.array_compact(F.array(*[F.when(low.contains(f" {a} " if match == "word" else a), F.lit(a)) for a in anchors]))
 
 
 def first_rule(text: Column, rules, field: int = 1) -> Column:

@@ -72,7 +72,7 @@ def merged_sections(parts: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def reclassified(text: Column, heading: Column) -> Column:
     """Class of an unlabelled block by the shape of its lines; ``unknown`` stays research."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     n = F.size(lines)
     cited = F.size(F.filter(lines, lambda x: x.rlike(r"^\[[0-9]+\]|^[0-9]+\. [A-Z]|doi|https?://|et al|\([12][0-9]{3}\)")))
     low = F.lower(F.coalesce(text, F.lit("")))

@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from corpuswright.plans import score_queries, text_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(sorted({**text_queries.Q, **score_queries.Q}.items()))
+ORACLES: dict[str, str] = {**text_queries.SQL, **score_queries.SQL}
+flagship = score_queries.q00_flagship

@@ -1,0 +1,209 @@
+"""Payloads of literature and patent services to rows.
+
+Each parser takes raw payloads (column ``payload``) as the replay source yields them and returns rows of the
+declared schema: :data:`PAPER` or :data:`PATENT`. Leaves that may be an object or a list are read as
+VARIANT. Malformed payloads give no rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corpuswright.functions.text import squeeze, strip_markup
+
+PAPER = T.StructType.fromDDL("title string, authors array<string>, year int, abstract string, url string, doi string, source string, citations int, open_access_url string")
+PATENT = T.StructType.fromDDL("patent_id string, publication_number string, title string, assignee string, inventors array<string>, abstract string, publication_date string, priority_date string, jurisdiction string, source string, url string")
+
+
+def conform(rows: DataFrame, schema: T.StructType, defaults: dict[str, object] | None = None) -> DataFrame:
+    """Columns of the schema in order, missing ones null, declared defaults in place of null."""
+    have = set(rows.columns)
+    out = []
+    for f in schema:
+        c = F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)
+        if defaults and f.name in defaults:
+            c = F.coalesce(c, F.lit(defaults[f.name]))
+        out.append(c.alias(f.name))
+    return rows.select(*out)
+
+
+def year_of(text: Column) -> Column:
+    """Year in the first four characters, null if they are no digits."""
+    return F.when(F.substring(text, 1, 4).rlike("^[0-9]{4}$"), F.substring(text, 1, 4).cast("int"))
+
+
+def _json(payloads: DataFrame, ddl: str, path: str) -> DataFrame:
+    """One row for each element of the array at ``path`` of the parsed payload."""
+    return payloads.select(F.from_json("payload", ddl).alias("p")).select(F.explode(f"p.{path}").alias("x"))
+
+
+def atom_feed(payloads: DataFrame, source: str = "preprint_feed") -> DataFrame:
+    """Entries of an Atom feed; the year is the first four characters of ``published``."""
+    ddl = "entry array<struct<title string, summary string, published string, id string, author array<struct<name string>>>>"
+    rows = payloads.select(F.from_xml("payload", ddl, {"rowTag": "feed"}).alias("p")).select(F.explode("p.entry").alias("x"))
+    rows = rows.select(squeeze(F.col("x.title")).alias("title"), F.transform("x.author", lambda a: a["name"]).alias("authors"), year_of(F.col("x.published")).alias("year"), squeeze(F.col("x.summary")).alias("abstract"), F.col("x.id").alias("url"), F.lit(source).alias("source"))
+    return conform(rows, PAPER)
+
+
+def graph_api(payloads: DataFrame, source: str = "scholar_graph") -> DataFrame:
+    """data[] with author objects, external ids and an open-access link."""
+    ddl = "data array<struct<title string, abstract string, year int, url string, citationCount int, authors array<struct<name string>>, externalIds struct<DOI string>, openAccessPdf struct<url string>>>"
+    rows = _json(payloads, ddl, "data")
+    rows = rows.select("x.title", "x.abstract", "x.year", "x.url", F.col("x.citationCount").alias("citations"), F.transform("x.authors", lambda a: a["name"]).alias("authors"), F.col("x.externalIds.DOI").alias("doi"), F.col("x.openAccessPdf.url").alias("open_access_url"), F.lit(source).alias("source"))
+    return conform(rows, PAPER)
+
+
+def registry_api(payloads: DataFrame, source: str = "cross_index") -> DataFrame:
+    """S3: message.items[] with title lists, given and family names, tagged abstracts, date parts."""
+    ddl = "message struct<items array<struct<title array<string>, abstract string, DOI string, URL string, author array<struct<given string, family string>>, issued struct<`date-parts` array<array<int>>>>>>"
+    rows = _json(payloads, ddl, "message.items")
+    names = F.transform("x.author", lambda a: F.concat_ws(" ", a["given"], a["family"]))
+    rows = rows.select(F.get("x.title", 0).alias("title"), strip_markup(F.col("x.abstract")).alias("abstract"), F.col("x.DOI").alias("doi"), F.col("x.URL").alias("url"), names.alias("authors"), F.get(F.get("x.issued.date-parts", 0), 0).alias("year"), F.lit(source).alias("source"))
+    return conform(rows, PAPER)
+
+
+def works_api(payloads: DataFrame, source: str = "open_works") -> DataFrame:
+    """results[] whose abstract is an inverted index."""
+    ddl = "results array<struct<title string, publication_year int, doi string, id string, cited_by_count int, authorships array<struct<author struct<display_name string>>>, abstract_inverted_index map<string, array<int>>>>"
+    rows = _json(payloads, ddl, "results")
+    rows = rows.select("x.title", F.col("x.publication_year").alias("year"), "x.doi", F.col("x.id").alias("url"), F.col("x.cited_by_count").alias("citations"), F.transform("x.authorships", lambda a: a["author"]["display_name"]).alias("authors"), rebuilt(F.col("x.abstract_inverted_index")).alias("abstract"), F.lit(source).alias("source"))
+    return conform(rows, PAPER)
+
+
+def biomedical_api(payloads: DataFrame, source: str = "bio_index") -> DataFrame:
+    """resultList.result[]; the address prefers the full-text id."""
+    ddl = "resultList struct<result array<struct<title string, abstractText string, pubYear string, doi string, pmcid string, id string, authorString string, citedByCount int>>>"
+    rows = _json(payloads, ddl, "resultList.result")
+    url = F.when(F.coalesce("x.pmcid", F.lit("")) != "", F.concat(F.lit("https://bio-index.example/full/"), "x.pmcid")).otherwise(F.concat(F.lit("https://bio-index.example/id/"), "x.id"))
+    rows = rows.select("x.title", strip_markup(F.col("x.abstractText")).alias("abstract"), year_of(F.col("x.pubYear")).alias("year"), "x.doi", url.alias("url"), F.split("x.authorString", ", ").alias("authors"), F.col("x.citedByCount").alias("citations"), F.lit(source).alias("source"))
+    return conform(rows, PAPER)
+
+
+def journal_api(payloads: DataFrame, source: str = "open_journals") -> DataFrame:
+    """results[].bibjson; the full-text link is routed by its type."""
+    ddl = "results array<struct<bibjson struct<title string, abstract string, year string, author array<struct<name string>>, identifier array<struct<type string, id string>>, link array<struct<type string, url string, content_type string>>>>>"
+    rows = _json(payloads, ddl, "results").select(F.col("x.bibjson").alias("b"))
+    of = lambda kind: F.get(F.filter("b.link", lambda l: l["content_type"] == kind), 0)["url"]
+    doi = F.get(F.filter("b.identifier", lambda i: F.lower(i["type"]) == "doi"), 0)["id"]
+    link = F.get(F.filter("b.link", lambda l: l["type"] == "fulltext"), 0)["url"]
+    rows = rows.select("b.title", "b.abstract", year_of(F.col("b.year")).alias("year"), F.transform("b.author", lambda a: a["name"]).alias("authors"), doi.alias("doi"), link.alias("url"), of("PDF").alias("open_access_url"), F.lit(source).alias("source"))
+    return conform(rows, PAPER)
+
+
+def clustered_patents(payloads: DataFrame, source: str = "grant_search", enough: int = 12) -> DataFrame:
+    """Results.cluster[].result[]; first row of each id, at most ``enough`` (a source-side limit)."""
+    ddl = "results struct<cluster array<struct<result array<struct<id string, patent struct<publication_number string, title string, snippet string, assignee string, inventor string, filing_date string, priority_date string>>>>>>"
+    rows = _json(payloads, ddl, "results.cluster").select(F.explode("x.result").alias("r"))
+    rows = rows.select(F.col("r.id").alias("patent_id"), "r.patent.publication_number", strip_markup(F.col("r.patent.title")).alias("title"), strip_markup(F.col("r.patent.snippet")).alias("abstract"), "r.patent.assignee", F.array(F.col("r.patent.inventor")).alias("inventors"), F.col("r.patent.filing_date").alias("publication_date"), "r.patent.priority_date", F.lit(source).alias("source"))
+    return conform(rows.dropDuplicates(["patent_id"]).orderBy("patent_id").limit(enough), PATENT)
+
+
+def many(leaf: str) -> str:
+    """SQL: a VARIANT leaf as an array, whether it holds a list, one object or nothing."""
+    return f"case when schema_of_variant({leaf}) like 'ARRAY%' then cast({leaf} as array<variant>) when {leaf} is null then array() else array({leaf}) end"
+
+
+def office_patents(payloads: DataFrame, source: str = "office_register") -> DataFrame:
+    """Three levels of objects whose leaf is one document or a list of them."""
+    rows = payloads.select(F.expr("try_parse_json(payload)").alias("v")).where("v is not null")
+    rows = rows.select(F.expr("try_variant_get(v, '$.world.search.documents', 'variant')").alias("leaf"))
+    rows = rows.select(F.explode(F.expr(many("leaf"))).alias("x"))
+    get = lambda p: F.expr(f"try_variant_get(x, '{p}', 'string')")
+    number = F.concat_ws("", get("$.country"), get("$.number"), get("$.kind"))
+    rows = rows.select(number.alias("patent_id"), number.alias("publication_number"), get("$.title").alias("title"), get("$.abstract").alias("abstract"), get("$.applicant").alias("assignee"), get("$.date").alias("publication_date"), get("$.country").alias("jurisdiction"), F.lit(source).alias("source"))
+    return conform(rows, PATENT)
+
+
+def lens_patents(payloads: DataFrame, source: str = "open_lens") -> DataFrame:
+    """data[] of an open patent index."""
+    ddl = "data array<struct<lens_id string, jurisdiction string, doc_number string, kind string, date_published string, title string, abstract string, applicants array<string>, inventors array<string>>>"
+    rows = _json(payloads, ddl, "data")
+    number = F.concat_ws("", "x.jurisdiction", "x.doc_number", "x.kind")
+    return conform(rows.select(F.col("x.lens_id").alias("patent_id"), number.alias("publication_number"), "x.title", "x.abstract", F.get("x.applicants", 0).alias("assignee"), "x.inventors", F.col("x.date_published").alias("publication_date"), "x.jurisdiction", F.lit(source).alias("source")), PATENT)
+
+
+def civic_patents(payloads: DataFrame, source: str = "civic_view") -> DataFrame:
+    """patents[] with assignee and inventor objects."""
+    ddl = "patents array<struct<patent_number string, patent_title string, patent_abstract string, patent_date string, assignees array<struct<name string>>, inventors array<struct<first string, last string>>>>"
+    rows = _json(payloads, ddl, "patents")
+    names = F.transform("x.inventors", lambda i: F.concat_ws(" ", i["first"], i["last"]))
+    return conform(rows.select(F.col("x.patent_number").alias("patent_id"), F.concat(F.lit("US"), "x.patent_number").alias("publication_number"), F.col("x.patent_title").alias("title"), F.col("x.patent_abstract").alias("abstract"), F.get("x.assignees", 0)["name"].alias("assignee"), names.alias("inventors"), F.col("x.patent_date").alias("publication_date"), F.lit("US").alias("jurisdiction"), F.lit(source).alias("source")), PATENT)
+
+
+def boolean_expressions(anchors: list[str], topic: str, most: int = 5) -> list[str]:
+    """Three tiers of search expressions, strict to loose, distinct in order."""
+    quoted = [f'"{a}"' for a in anchors]
+    tiers = [" AND ".join(quoted[:3]), " AND ".join(quoted[:2]), " OR ".join(quoted), topic]
+    return list(dict.fromkeys(t for t in tiers if t))[:most]
+
+
+def rebuilt(index: Column) -> Column:
+    """Text of an inverted index word -> positions."""
+    pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
+    return F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " ")
+
+
+def inverted_index(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, index): word -> positions of each non-blank text, inside the row."""
+    w = F.split(squeeze(F.coalesce(text, F.lit(""))), " ")
+    at = lambda word: F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i) == word)
+    rows = rows.select(key, w.alias("w")).where("w[0] <> ''")
+    words = F.array_distinct("w")
+    return rows.select(key, F.map_from_arrays(words, F.transform(words, at)).alias("index"))
+
+
+def from_inverted_index(rows: DataFrame, key: str, index: str) -> DataFrame:
+    return rows.select(key, rebuilt(F.col(index)).alias("text"))
+
+
+def as_article_xml(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, xml): texts wrapped as article XML, one section a document, to exercise the parser."""
+    from corpuswright.functions.text import escape_markup
+
+    safe = escape_markup(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\t\n\r\x{20}-\x{D7FF}\x{E000}-\x{FFFD}]", " "))
+    paras = F.concat(F.lit("<p>"), F.replace(safe, F.lit("\n\n"), F.lit("</p><p>")), F.lit("</p>"))
+    return docs.select(key, F.concat(F.lit("<article><body><sec><title>1. Text</title>"), paras, F.lit("<sec><title>1.1 Inner</title><p>deep</p></sec></sec></body></article>")).alias("xml"))
+
+
+def article_sections(rows: DataFrame, key: str, xml: str) -> DataFrame:
+    """(key, ord, depth, title, chars, hash): sections of article XML in document order, of any depth.
+
+    Recursion has no bound, so a parser streams over the elements of each text in Arrow batches; heading
+    numbers are stripped, the first abstract only is kept, malformed XML gives no row.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+        import re
+        import xml.etree.ElementTree as ET
+
+        def walk(node, depth, out):
+            title = node.find("title")
+            name = re.sub(r"^\d+(?:\.\d+)*\.?\s*", "", " ".join("".join(title.itertext()).split())) if title is not None else ""
+            body = "\n\n".join(" ".join("".join(p.itertext()).split()) for p in node.findall("p"))
+            out.append((depth, name, body))
+            for child in node.findall("sec"):
+                walk(child, depth + 1, out)
+
+        for b in batches:
+            got = []
+            for k, x in zip(b[key], b[xml]):
+                try:
+                    root = ET.fromstring(x)
+                except (ET.ParseError, TypeError):
+                    continue
+                out: list = []
+                abstract = root.find(".//abstract")
+                if abstract is not None:
+                    out.append((0, "Abstract", " ".join("".join(abstract.itertext()).split())))
+                for sec in root.findall("./body/sec"):
+                    walk(sec, 1, out)
+                got += [(k, i, d, t, len(s), hashlib.md5(s.encode("utf-8", "surrogatepass")).hexdigest()) for i, (d, t, s) in enumerate(out)]
+            yield pd.DataFrame(got, columns=[key, "ord", "depth", "title", "chars", "hash"])
+
+    return rows.select(key, xml).mapInPandas(read, f"{key} long, ord int, depth int, title string, chars int, hash string")

@@ -4,7 +4,7 @@ Problem 1. Which non-blank lines of a page belong to the site and not to the art
 
 How it works
 ------------
-1. Lines become *tokens*: the whole line, its sentences and its opening four words, with numbers
+1. Lines become *tokens*: the whole line, its sentences, its opening and closing words, with numbers
    and the site's own name masked, each a 64-bit hash. A page contributes each token once, with
    how often it has it.
 2. Tokens of a host with the same occurrence vector over its pages form an equivalence class; the vector
@@ -67,19 +67,24 @@ def token(kind: str, words: list[str]) -> int:
     return xxhash.xxh64_intdigest(kind + "\x00" + " ".join(words)) - 2**63
 
 
-def line_tokens(line: str, host: str, name: str) -> tuple[int | None, list[tuple[int, int]], int | None]:
-    """(whole, [(sentence, its words)], opening): the tokens of a line; None where it has none."""
+def line_tokens(line: str, host: str, name: str) -> tuple[int | None, list[tuple[int, int]], list[int]]:
+    """(whole, [(sentence, its words)], [opening, closing]): the tokens of a line."""
     words = pieces(line, host, name)
     if not words or not LETTER.search(" ".join(words)):
-        return None, [], None
+        return None, [], []
     whole = token("l", words)
     parts = [pieces(s, host, name) for s in SENTENCE.split(line.strip())]
     parts = [p for p in parts if p]
     sentences = [(token("s", p), len(p)) for p in parts if len(p) > 2]
-    # openings stand for site statements; titles of other pages and four characters of a script
-    # without spaces open too many lines alike
-    spaced = len(words) > 6 and (END.search(line) or {":", "—"} & set(words[:4])) and not any(len(w) == 1 and w > "\u3000" for w in words[:4])
-    return whole, sentences, token("o", words[:4]) if spaced else None
+    # openings and closings stand for site statements with a variable part; titles of other pages
+    # and a few characters of a script without spaces open and close too many lines alike
+    ends = []
+    if len(words) > 6 and not any(len(w) == 1 and w > "\u3000" for w in (*words[:4], *words[-6:])):
+        if END.search(line) or {":", "—"} & set(words[:4]):
+            ends.append(token("o", words[:4]))
+        if len(words) > 9 and END.search(line):
+            ends.append(token("c", words[-6:]))
+    return whole, sentences, ends
 
 
 def page_host(url: str | None) -> tuple[str, str]:
@@ -99,7 +104,12 @@ def outside(lines: list[str], template: list[bool]) -> list[int]:
     text = [l.strip() for l in lines]
     loose = [bool(t) and bool(CRUMB.match(t) or TEASER.search(t) or READER.search(t) or POINTER.match(t) or looks_like_menu(t)) for t in text]
     bad = [a or b for a, b in zip(template, loose)]
-    head = next((i for i in range(n) if text[i] and not bad[i] and not NUMBER.match(text[i])), n)
+    # the path to the page stands above its title, and no prose above the path
+    prose = next((i for i in range(n) if text[i] and not bad[i] and END.search(text[i]) and len(text[i]) > 40), n)
+    path = max((i for i in range(prose) if CRUMB.match(text[i])), default=-1)
+    fit = [i for i in range(path + 1, n) if text[i] and not bad[i] and not NUMBER.match(text[i])]
+    # a title has several words; single ones in front of it are a menu
+    head = next((i for i in fit if i <= prose and (len(text[i].split()) > 3 or sum(c > "\u3000" for c in text[i]) > 5)), fit[0] if fit else n)
     foot = max((i for i in range(n) if text[i] and not bad[i] and END.search(text[i])), default=head)
     # captions and cells of a table right behind the last paragraph
     while foot + 1 < n and (not text[foot + 1] or (not bad[foot + 1] and (NUMBER.match(text[foot + 1]) or CAPTION.match(text[foot + 1])))):
@@ -144,8 +154,8 @@ def outside_lines(pages: DataFrame, least_pages: int = 3, share: float = 0.5, le
                 lines = text.split("\n")
                 seen: dict[int, list] = {}
                 for i, l in enumerate(lines):
-                    whole, sentences, opening = line_tokens(l, host, name)
-                    for t in (whole, opening, *(s for s, _ in sentences)):
+                    whole, sentences, ends = line_tokens(l, host, name)
+                    for t in (whole, *ends, *(s for s, _ in sentences)):
                         if t is not None:
                             seen.setdefault(t, [0, i / len(lines)])[0] += 1
                 out += [(sid, host, lang, t, c, at) for t, (c, at) in seen.items()]
@@ -179,9 +189,9 @@ def outside_lines(pages: DataFrame, least_pages: int = 3, share: float = 0.5, le
                 lines = text.split("\n")
                 template = []
                 for l in lines:
-                    whole, sentences, opening = line_tokens(l, host, name)
+                    whole, sentences, ends = line_tokens(l, host, name)
                     words = sum(w for _, w in sentences)
-                    template.append(whole in known or opening in known or (words > 0 and sum(w for s, w in sentences if s in known) >= 0.6 * words))
+                    template.append(whole in known or any(e in known for e in ends) or (words > 0 and sum(w for s, w in sentences if s in known) >= 0.6 * words))
                 gone = outside(lines, template)
                 ids += [sid] * len(gone)
                 nos += gone

@@ -108,8 +108,8 @@ def outside(lines: list[str], template: list[bool]) -> list[int]:
     prose = next((i for i in range(n) if text[i] and not bad[i] and END.search(text[i]) and len(text[i]) > 40), n)
     path = max((i for i in range(prose) if CRUMB.match(text[i])), default=-1)
     fit = [i for i in range(path + 1, n) if text[i] and not bad[i] and not NUMBER.match(text[i])]
-    # a title has several words; single ones in front of it are a menu
-    head = next((i for i in fit if i <= prose and (len(text[i].split()) > 3 or sum(c > "\u3000" for c in text[i]) > 5)), fit[0] if fit else n)
+    # a title has several words and no end mark; single words in front of it are a menu
+    head = next((i for i in fit if i <= prose and not END.search(text[i]) and (len(text[i].split()) > 3 or sum(c > "\u3000" for c in text[i]) > 5)), fit[0] if fit else n)
     foot = max((i for i in range(n) if text[i] and not bad[i] and END.search(text[i])), default=head)
     # captions and cells of a table right behind the last paragraph
     while foot + 1 < n and (not text[foot + 1] or (not bad[foot + 1] and (NUMBER.match(text[foot + 1]) or CAPTION.match(text[foot + 1])))):

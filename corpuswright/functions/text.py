@@ -30,7 +30,7 @@ def clean_html(html: Column, noise: tuple[str, ...] = NOISE_TAGS, blocks: tuple[
     text = F.regexp_replace(text, rf"(?i)</?(?:{'|'.join(blocks)})(?:\s[^>]*)?/?>", "\n")
     text = unescape(F.regexp_replace(text, r"<[^>]+>", " "))
     text = F.regexp_replace(text, r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(text, r" *\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(text, r" *\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def strip_markup(text: Column) -> Column:

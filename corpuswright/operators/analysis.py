@@ -67,11 +67,12 @@ def grams(text: Column, n: int) -> Column:
 
 def rouge_n(pairs: DataFrame, key: str, candidate: str, reference: str, n: int) -> DataFrame:
     """(key, overlap, candidate_grams, reference_grams, f1): clipped multiset overlap of n-grams."""
-    both = []
-    for side, c in (("c", candidate), ("r", reference)):
-        both.append(pairs.select(key, F.explode(grams(F.col(c), n)).alias("g")).groupBy(key, "g").agg(F.count("*").alias("k")).select(key, "g", F.when(F.lit(side) == "c", F.col("k")).otherwise(0).alias("c"), F.when(F.lit(side) == "r", F.col("k")).otherwise(0).alias("r")))
-    per = both[0].unionByName(both[1]).groupBy(key, "g").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
-    s = per.groupBy(key).agg(F.sum(F.least("c", "r")).alias("overlap"), F.sum("c").alias("candidate_grams"), F.sum("r").alias("reference_grams"))
+    sides = []
+    for side, c in ((0, candidate), (1, reference)):
+        flat = pairs.select(key, F.explode(grams(F.col(c), n)).alias("_gram"))
+        sides.append(flat.groupBy(key, "_gram").agg(F.count("*").alias("_n")).select(key, "_gram", *[(F.col("_n") if side == k else F.lit(0).cast("long")).alias(f"_{k}") for k in (0, 1)]))
+    per = sides[0].unionByName(sides[1]).groupBy(key, "_gram").agg(F.sum("_0").alias("_0"), F.sum("_1").alias("_1"))
+    s = per.groupBy(key).agg(F.sum(F.least("_0", "_1")).alias("overlap"), F.sum("_0").alias("candidate_grams"), F.sum("_1").alias("reference_grams"))
     f1 = F.when(F.col("candidate_grams") + F.col("reference_grams") > 0, F.lit(2.0) * F.col("overlap") / (F.col("candidate_grams") + F.col("reference_grams"))).otherwise(F.lit(0.0))
     return s.withColumn("f1", f1)
 

@@ -87,7 +87,7 @@ def _clean_sql() -> str:
     for name, char in tx.ENTITIES:
         t = "replace(" + t + f", '{name}', '" + char.replace("'", "''") + "')"
     t = rf"regexp_replace({t}, '[ \t]+', ' ', 'g')"
-    return rf"trim(regexp_replace({t}, ' *\n\s*', chr(10), 'g'))"
+    return rf"regexp_replace(regexp_replace({t}, ' *\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 
 
 @query(f"SELECT section_id, length(c) AS chars, md5(c) AS hash, regexp_matches({_page('original_text')}, '<[A-Za-z][^>]{{0,50}}>') AS html FROM (SELECT section_id, original_text, {_clean_sql()} AS c FROM paper_sections WHERE original_text IS NOT NULL)")

@@ -9,23 +9,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpuswright.functions.text import squeeze, strip_markup
 
-PAPER = T.StructType.fromDDL("title string, authors array<string>, year int, abstract string, url string, doi string, source string, citations int, open_access_url string")
-PATENT = T.StructType.fromDDL("patent_id string, publication_number string, title string, assignee string, inventors array<string>, abstract string, publication_date string, priority_date string, jurisdiction string, source string, url string")
+PAPER = tuple(f.split(" ", 1) for f in "title string, authors array<string>, year int, abstract string, url string, doi string, source string, citations int, open_access_url string".split(", "))
+PATENT = tuple(f.split(" ", 1) for f in "patent_id string, publication_number string, title string, assignee string, inventors array<string>, abstract string, publication_date string, priority_date string, jurisdiction string, source string, url string".split(", "))
 
 
-def conform(rows: DataFrame, schema: T.StructType, defaults: dict[str, object] | None = None) -> DataFrame:
+def conform(rows: DataFrame, schema: tuple[list[str], ...], defaults: dict[str, object] | None = None) -> DataFrame:
     """Columns of the schema in order, missing ones null, declared defaults in place of null."""
     have = set(rows.columns)
     out = []
-    for f in schema:
-        c = F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)
-        if defaults and f.name in defaults:
-            c = F.coalesce(c, F.lit(defaults[f.name]))
-        out.append(c.alias(f.name))
+    for name, kind in schema:
+        c = F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
+        if defaults and name in defaults:
+            c = F.coalesce(c, F.lit(defaults[name]))
+        out.append(c.alias(name))
     return rows.select(*out)
 
 

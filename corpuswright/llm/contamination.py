@@ -21,7 +21,7 @@ batches: no shuffle, no state, nothing collected.
   over the allowed stretch (an upper bound that loses none), and the pairs left are decided
   exactly by longest common subsequence.
 
-Defined results: null, empty and wordless texts give no row; an item without words gives none;
+Defined results: null, empty and wordless texts give no row; an item without words or without item_id gives none;
 repeated rows of one doc_id give one row; other columns are ignored.
 """
 
@@ -177,7 +177,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = 12, share: float =
     instead of being broadcast.
     """
     spark = documents.sparkSession
-    rows = [(r[0], r[1]) for r in items.select("item_id", "text").limit(max_items + 1).collect()]
+    rows = [(r[0], r[1]) for r in items.select("item_id", "text").where("item_id is not null").limit(max_items + 1).collect()]
     if len(rows) > max_items:
         raise ValueError(f"more than {max_items} evaluation items; split them into sets")
     shared = spark.sparkContext.broadcast(Matcher(rows, run, share, spread))

@@ -50,6 +50,12 @@ def topic_words(topic: str, generic: tuple[str, ...]) -> list[str]:
     return list(dict.fromkeys(w for w in topic.lower().split() if len(w) > 2 and w not in generic))
 
 
+def topic_phrases(topic: str, generic: tuple[str, ...]) -> list[str]:
+    """Neighbouring pairs of significant words."""
+    w = topic_words(topic, generic)
+    return [f"{a} {b}" for a, b in zip(w, w[1:])]
+
+
 def expand_queries(topic: str, groups: dict[str, list[str]], suffixes: tuple[str, ...], most: int) -> list[str]:
     """Search strings of a topic: itself, pairs of anchors across groups, structural suffixes; without
     regard to case distinct, never a single generic word, at most ``most``."""

@@ -5,6 +5,9 @@ Equal arithmetic in every engine: doubles, explicit rounding, tie-breakers.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +19,8 @@ from corpuswright.operators.lookup import hits, weighted_rules
 from corpuswright.operators.ranking import distributed_rank
 from corpuswright.session import materialise
 
+TERM = re.compile(r"\w+")
+
 
 def clip(x: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
@@ -133,46 +138,52 @@ def graph_rank(items: DataFrame, group: list[str], item: str, text: str, order:
     At most ``most`` items of a group are ranked (evenly sampled), the rest keep 1 / n. Groups are
     bounded by the sample, so each is one small dense matrix in a task. n = 1 scores 1.
     """
-    chosen = materialise(sampled(items, group, order, most), "sampled")
-    stop_set = set(stop)
-
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        import re
-
-        n = len(pdf)
-        pdf = pdf.sort_values("pos")
-        docs = [[w for w in re.findall(r"[^\W]+", t.lower()) if len(w) >= 2 and w not in stop_set] for t in pdf["_text"]]
-        index: dict[str, int] = {}
-        for d in docs:
-            for w in d:
-                index.setdefault(w, len(index))
-        m = np.zeros((n, max(1, len(index))))
-        for i, d in enumerate(docs):
-            for w in d:
-                m[i, index[w]] += 1.0 / len(d)
-        df = (m > 0).sum(axis=0)
-        m *= np.log((1.0 + n) / (1.0 + df)) + 1.0
-        norm = np.sqrt((m * m).sum(axis=1))
-        norm[norm == 0] = 1.0
-        sim = (m / norm[:, None]) @ (m / norm[:, None]).T
-        np.fill_diagonal(sim, 0.0)
-        out = sim.sum(axis=1)
-        flow = np.divide(sim, out[:, None], out=np.zeros_like(sim), where=out[:, None] > 0)
-        s = np.full(n, 1.0 / n)
-        if n == 1:
-            s[:] = 1.0
-        else:
-            for _ in range(rounds):
-                s = (1.0 - damping) / n + damping * (flow.T @ s)
-        res = pdf[[*group, item]].copy()
-        res["score"] = s
-        return res
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema if f.name in (*group, item)) + ", score double"
-    cols = [f.name for f in items.schema if f.name in (*group, item)]
-    ranked = chosen.select(*cols, "pos", F.coalesce(text, F.lit("")).alias("_text")).groupBy(*group).applyInPandas(lambda p: rank(p)[[*cols, "score"]], schema)
+    chosen = materialise(sampled(items.select(*group, item, *[c for c in order if c != item and c not in group], F.coalesce(text, F.lit("")).alias("_text")), group, order, most), "sampled")
+    stop_set = frozenset(stop)
+    # at most ``most`` members a row
+    gathered = chosen.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("pos", F.col(item).alias("item"), "_text"))).alias("members"))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids, values = [], []
+            for members in b["members"]:
+                ids += [m["item"] for m in members]
+                values.append(rank_texts([m["_text"] for m in members], stop_set, damping, rounds))
+            yield pd.DataFrame({item: ids, "score": np.concatenate(values) if values else np.zeros(0)})
+
+    kind = items.schema[item].dataType.simpleString()
+    ranked = gathered.select("members").mapInPandas(scan, f"`{item}` {kind}, score double")
     n = items.groupBy(*group).agg(F.count("*").alias("n"))
-    return items.select(*cols).join(ranked.select(item, "score"), item, "left").join(n, group).select(*cols, F.coalesce("score", F.lit(1.0) / F.col("n")).alias("score"))
+    cols = [*group, item]
+    return items.select(*cols).join(ranked, item, "left").join(n, group).select(*cols, F.coalesce("score", F.lit(1.0) / F.col("n")).alias("score"))
+
+
+def rank_texts(texts: list[str], stop: frozenset[str], damping: float, rounds: int) -> np.ndarray:
+    """Scores of the texts of one group by the random walk over their term cosines."""
+    n = len(texts)
+    if n == 1:
+        return np.ones(1)
+    docs = [[w for w in TERM.findall(t.lower()) if len(w) >= 2 and w not in stop] for t in texts]
+    index: dict[str, int] = {}
+    for d in docs:
+        for w in d:
+            index.setdefault(w, len(index))
+    m = np.zeros((n, max(1, len(index))))
+    for i, d in enumerate(docs):
+        for w in d:
+            m[i, index[w]] += 1.0 / len(d)
+    m *= np.log((1.0 + n) / (1.0 + (m > 0).sum(axis=0))) + 1.0
+    norm = np.sqrt((m * m).sum(axis=1))
+    norm[norm == 0] = 1.0
+    m /= norm[:, None]
+    sim = m @ m.T
+    np.fill_diagonal(sim, 0.0)
+    out = sim.sum(axis=1)
+    flow = np.divide(sim, out[:, None], out=np.zeros_like(sim), where=out[:, None] > 0)
+    s = np.full(n, 1.0 / n)
+    for _ in range(rounds):
+        s = (1.0 - damping) / n + damping * (flow.T @ s)
+    return s
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpuswright.functions.text import ratio4, token_estimate, word_count, word_set
 from corpuswright.lexicon import MIN_SENTENCES, NON_RESEARCH, OTHER_MIN, SECTION_ORDER
 from corpuswright.operators.ranking import top_n
+from corpuswright.operators.skew import skew_join
 
 
 def minimum_of(section: Column) -> Column:
@@ -48,9 +49,9 @@ def budgeted(sentences: DataFrame, paper: str = "paper_id", section: str = "sect
     state is what has been kept. Rows without paper or text are left out; ties go to the smaller ``seq``.
     """
     base = sentences.where(F.col(paper).isNotNull() & F.col(text).isNotNull() & ~F.col(section).isin(*NON_RESEARCH)).withColumn("tokens", token_estimate(F.col(text)))
-    total = base.groupBy(paper).agg(F.sum("tokens").alias("total"))
+    total = base.groupBy(paper).agg(F.sum("tokens").alias("total"), F.count("*").alias("weight"))
     cover = minimum_cover(base, paper, section, score, [seq]).select(seq, F.lit(1).alias("covered"))
-    rows = base.join(total, paper).join(cover, seq, "left")
+    rows = skew_join(base, total, [paper], "weight").join(cover, seq, "left")
     turn = F.struct(F.coalesce(1 - F.col("covered"), F.lit(1)).alias("late"), (-F.col(score)).alias("score"), F.col(seq).alias("seq"))
     rows = rows.select(F.col(paper).alias("paper"), F.col(section).alias("section"), "tokens", "total", turn.alias("turn"), word_set(F.col(text)).alias("words"))
     rows = rows.repartition("paper").sortWithinPartitions("paper", "turn")

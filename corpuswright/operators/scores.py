@@ -17,6 +17,7 @@ from corpuswright.functions.text import terms, word_set
 from corpuswright.lexicon import GENERIC_TOPIC_WORDS, OBJECTIVE_CUES, OTHER_WEIGHT, SECTION_WEIGHT, STOP_WORDS, TECHNICAL_RULES, anchors
 from corpuswright.operators.lookup import hits, weighted_rules
 from corpuswright.operators.ranking import distributed_rank
+from corpuswright.operators.skew import skew_join
 from corpuswright.session import materialise
 
 TERM = re.compile(r"\w+")
@@ -86,12 +87,12 @@ def term_weights(items: DataFrame, group: list[str], item: str, text: str, stop=
     Counts combine before each shuffle. n counts all items of the group, also those without terms.
     """
     base = items.select(*group, item, terms(F.col(text), stop).alias("terms"))
-    n = base.groupBy(*group).agg(F.count("*").alias("n"))
+    n = base.groupBy(*group).agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("occurrences"))
     tf = base.select(*group, item, F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy(*group, item, "len", "term").agg(F.count("*").alias("c"))
     tf = materialise(tf, "tf")
     df = tf.groupBy(*group, "term").agg(F.count("*").alias("df"))
     w = F.col("c") / F.col("len") * (F.ln((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
-    return tf.join(df, [*group, "term"]).join(n, group).select(*group, item, "term", w.alias("w"))
+    return skew_join(tf.join(df, [*group, "term"]), n, group, "occurrences").select(*group, item, "term", w.alias("w"))
 
 
 def document_weights(items: DataFrame, item: str, text: str, stop=STOP_WORDS, least: int = 3) -> DataFrame:
@@ -124,19 +125,20 @@ def sampled(items: DataFrame, group: list[str], order: list[str], most: int = 15
     Positions come from a distributed rank, so a group of any size is never sorted in one task.
     """
     ranked = distributed_rank(items, group, order, "pos")
-    n = ranked.groupBy(*group).agg(F.count("*").alias("size"))
+    n = ranked.groupBy(*group).agg(F.count("*").alias("size"), F.count("*").alias("weight"))
     i = F.col("pos") - 1
     # position p is taken if some i < most has int(i * n / most) = p, that is ceil(p * most / n) < (p + 1) * most / n
     first = F.ceil(i * F.lit(most) / F.col("size"))
     taken = (F.col("size") <= most) | (F.floor(first * F.col("size") / F.lit(float(most))) == i) & (first < most)
-    return ranked.join(n, group).where(taken)
+    return skew_join(ranked, n, group, "weight").where(taken)
 
 
 def graph_rank(items: DataFrame, group: list[str], item: str, text: str, order: list[str], damping: float = 0.85, rounds: int = 25, most: int = 150, stop=STOP_WORDS) -> DataFrame:
     """(group, item, score): rank of each item in the similarity graph of its group.
 
     At most ``most`` items of a group are ranked (evenly sampled), the rest keep 1 / n. Groups are
-    bounded by the sample, so each is one small dense matrix in a task. n = 1 scores 1.
+    bounded by the sample, so each is one small dense matrix in a task. n = 1 scores 1. Rows with a null
+    group are left out.
     """
     chosen = materialise(sampled(items.select(*group, item, *[c for c in order if c != item and c not in group], F.coalesce(text, F.lit("")).alias("_text")), group, order, most), "sampled")
     stop_set = frozenset(stop)
@@ -153,9 +155,9 @@ def graph_rank(items: DataFrame, group: list[str], item: str, text: str, order:
 
     kind = items.schema[item].dataType.simpleString()
     ranked = gathered.select("members").mapInPandas(scan, f"`{item}` {kind}, score double")
-    n = items.groupBy(*group).agg(F.count("*").alias("n"))
+    n = items.groupBy(*group).agg(F.count("*").alias("n"), F.count("*").alias("weight"))
     cols = [*group, item]
-    return items.select(*cols).join(ranked, item, "left").join(n, group).select(*cols, F.coalesce("score", F.lit(1.0) / F.col("n")).alias("score"))
+    return skew_join(items.select(*cols).join(ranked, item, "left"), n, group, "weight").select(*cols, F.coalesce("score", F.lit(1.0) / F.col("n")).alias("score"))
 
 
 def rank_texts(texts: list[str], stop: frozenset[str], damping: float, rounds: int) -> np.ndarray:

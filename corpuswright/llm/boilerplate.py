@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,8 +41,8 @@ from corpuswright.operators.skew import skew_join
 from corpuswright.session import materialise
 
 PIECE = re.compile(r"[぀-ヿ一-鿿]|[^\W\d_]+|\d+|[^\w\s]")
-LETTER = re.compile(r"[^\W\d_]")
-USER = re.compile(r"\b([a-z]+?)\d+\b")
+USER = re.compile(r"\b([a-z]+)\d+\b")
+DIGIT = re.compile(r"\d")
 SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
 END = re.compile(r"[.!?。！？؟।][\"”’»)\]」』]*\s*$")
 # Forms of lines that lead to other pages or come from readers.
@@ -55,11 +56,15 @@ NUMBER = re.compile(r"^\s*[-+]?\d+(?:[.,]\d+)?\s*%?\s*$")
 SPLIT_NAV = re.compile(r"\s{2,}|\s[|·/•]\s|\]\([^)]*\)\s*\[?")
 
 
-def pieces(line: str, host: str, name: str) -> list[str]:
-    low = line.lower()
-    if host:
+def masked(line: str, host: str, name: str) -> str:
+    """Lower case, the site's address and name and the numbers of user names masked."""
+    low = line.lower().strip()
+    if host and name in low:
         low = low.replace(host, " HOST ").replace(name, " SITE ")
-    low = USER.sub(r"\1", low)
+    return USER.sub(r"\1", low) if DIGIT.search(low) else low
+
+
+def pieces(low: str) -> list[str]:
     return ["0" if p[0].isdigit() else p for p in PIECE.findall(low)]
 
 
@@ -67,14 +72,14 @@ def token(kind: str, words: list[str]) -> int:
     return xxhash.xxh64_intdigest(kind + "\x00" + " ".join(words)) - 2**63
 
 
+@lru_cache(maxsize=65_536)
 def line_tokens(line: str, host: str, name: str) -> tuple[int | None, list[tuple[int, int]], list[int]]:
     """(whole, [(sentence, its words)], [opening, closing]): the tokens of a line."""
-    words = pieces(line, host, name)
-    if not words or not LETTER.search(" ".join(words)):
+    parts = [p for p in map(pieces, SENTENCE.split(masked(line, host, name))) if p]
+    words = [w for p in parts for w in p]
+    if not any(w[0].isalpha() for w in words):
         return None, [], []
     whole = token("l", words)
-    parts = [pieces(s, host, name) for s in SENTENCE.split(line.strip())]
-    parts = [p for p in parts if p]
     sentences = [(token("s", p), len(p)) for p in parts if len(p) > 2]
     # openings and closings stand for site statements with a variable part; titles of other pages
     # and a few characters of a script without spaces open and close too many lines alike

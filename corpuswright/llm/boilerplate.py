@@ -177,7 +177,9 @@ def outside_lines(pages: DataFrame, least_pages: int = 3, share: float = 0.5, le
     vector = F.bit_xor(F.xxhash64("section_id", "n")).alias("vector")
     tokens = seen.groupBy("host", "token").agg(vector, F.count("*").alias("support"), F.avg("at").alias("at")).where(F.col("support") >= least_pages)
     classes = tokens.groupBy("host", "vector", "support").agg(F.count("*").alias("size"), F.min("at").alias("from"), F.max("at").alias("to"), F.avg("at").alias("mid"))
-    valid = classes.join(sizes, "host").where((F.col("support") >= share * F.col("pages")) & ((F.col("mid") < 0.25) | (F.col("mid") > 0.75)))
+    classes = materialise(classes, "classes")
+    hosts = classes.groupBy("host").agg(F.count("*").alias("weight")).join(sizes, "host")
+    valid = skew_join(classes, hosts, ["host"], "weight").where((F.col("support") >= share * F.col("pages")) & ((F.col("mid") < 0.25) | (F.col("mid") > 0.75)))
     local = tokens.join(valid.select("host", "vector", "support"), ["host", "vector", "support"]).select("host", "token", F.col("support").alias("weight"))
 
     marked = skew_join(seen.select("section_id", "token"), everywhere, ["token"], "weight", total)

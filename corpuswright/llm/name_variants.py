@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuswright.operators.graph import components
+from corpuswright.operators.skew import skew_join
 from corpuswright.session import materialise
 
 # Strings that stand for no name.
@@ -66,6 +67,7 @@ PUBLIC = {"university", "institute", "polytechnic", "hospital", "college", "rese
 KIND_OF = {a: k for k, v in KINDS.items() for a in v} | {k: k for k in KINDS}
 TITLES = {"dr", "prof", "professor", "mr", "mrs", "ms", "phd", "md", "msc", "dipl", "ing", "jr", "sr", "ii", "iii", "mba", "bsc"}
 FILLERS = {"the", "of", "for", "and", "de", "der", "la"}
+SMALL = 10_000  # rows of a table of short forms
 LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "ð": "d", "þ": "th"})
 
 
@@ -209,7 +211,9 @@ def entities(names: DataFrame, short_forms: DataFrame | None = None, block: int
     """(name, entity) of each name that means somebody; ``names``: distinct strings in column name."""
     forms = {k: set(v) for k, v in SHORT_FORMS.items()}
     if short_forms is not None:  # a small fixed table
-        for r in short_forms.select("given_name", "short_form").where("given_name is not null and short_form is not null").limit(10_000).collect():
+        for r in short_forms.select("given_name", "short_form").where("given_name is not null and short_form is not null").limit(SMALL + 1).collect():
+            if len(forms) > SMALL:
+                raise ValueError(f"more than {SMALL} short forms")
             forms.setdefault(fold(r.short_form.strip()), set()).add(fold(r.given_name.strip()))
     forms = {fold(k): {fold(x) for x in v} for k, v in forms.items()}
 
@@ -243,12 +247,13 @@ def entities(names: DataFrame, short_forms: DataFrame | None = None, block: int
     spots = materialise(spots.withColumn("own", F.lit(True)).unionByName(longer.select("node", "word", F.concat(F.lit("person:"), "given", F.lit(":")).alias("shard"), "form", F.lit(False).alias("own"))), "shards")
     degree = spots.where("own").groupBy("form", "word").agg(F.count("*").alias("degree"))
     sizes = spots.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1")
-    rows = spots.join(sizes, "shard").join(degree, ["form", "word"])
+    count = spots.count()
+    rows = skew_join(spots, sizes.withColumn("weight", F.col("size")), ["shard"], "weight", count)
+    rows = skew_join(rows, degree.withColumn("weight", F.col("degree")), ["form", "word"], "weight", count)
     blocks = F.ceil(F.col("size") / block).cast("int")
     rows = rows.withColumn("b", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("b", j).alias("x"), F.greatest("b", j).alias("y")))
     cells = rows.select("shard", "node", "word", "degree", "form", F.explode(meets).alias("cell"))
-    count = spots.count()
     cells = cells.withColumn("bucket", F.pmod(F.xxhash64("shard", "cell"), F.lit(max(8, count // 20_000))).cast("int"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from corpuswright.session import materialise
 
+SMALL = 1000  # kinds of windows
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of the byte-level rank files.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -119,7 +120,9 @@ def pack(counts: DataFrame, windows: DataFrame) -> DataFrame:
     ``counts``: (doc_id, tokens); ``windows``: (window_id, capacity_tokens), a small fixed table.
     Windows with a null or non-positive capacity hold nothing and get no row.
     """
-    caps = [(r[0], r[1]) for r in windows.where("capacity_tokens > 0").select("window_id", "capacity_tokens").distinct().limit(1000).collect()]
+    caps = [(r[0], r[1]) for r in windows.where("capacity_tokens > 0").select("window_id", "capacity_tokens").distinct().limit(SMALL + 1).collect()]
+    if len(caps) > SMALL:
+        raise ValueError(f"more than {SMALL} windows")
     spark = counts.sparkSession
     if not caps:
         return spark.createDataFrame([], "window_id int, bin_id long, doc_id long, piece_no int, start_token long, end_token long")

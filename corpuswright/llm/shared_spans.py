@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuswright.llm.wordseq import U64, mix64
+from corpuswright.operators.skew import skew_join
 from corpuswright.session import materialise
 
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -251,7 +252,9 @@ def shared_spans(documents: DataFrame, length: int = 320, gram: int | None = Non
         F.min(F.struct("doc_id", "pos", "left", "size")).alias("rep"),
     )
     by_anchor = by_ctx.groupBy("h").agg(F.min("lo").alias("all_lo"), F.max("hi").alias("all_hi"), F.count("*").alias("contexts")).where("all_lo < all_hi")
-    repeated = materialise(by_ctx.join(by_anchor.select("h", "contexts"), "h"), "contexts")
+    total = found.count()
+    repeated = skew_join(by_ctx, by_anchor.select("h", "contexts", F.col("contexts").alias("weight")), ["h"], "weight", total, hot_keys)
+    repeated = materialise(repeated, "contexts")
 
     # settled at once: the whole context is in two documents
     whole = repeated.where("lo < hi").select("h", "ctx", "n", F.lit(0).alias("first"), (F.col("rep.size") - length).alias("last"))
@@ -288,15 +291,12 @@ def shared_spans(documents: DataFrame, length: int = 320, gram: int | None = Non
             yield pd.DataFrame({"h": h.to_numpy()[row], "ctx": ctx.to_numpy()[row], "n": n.to_numpy()[row], "lo": lo.to_numpy()[row], "hi": hi.to_numpy()[row], "start": start.astype(np.int32), "w": w.view(np.int64)})
 
     crowded = with_text.where(F.col("contexts") > small_group).select("h", "ctx", "n", "lo", "hi", "t")
-    windows = crowded.mapInPandas(explode, "h long, ctx long, n long, lo long, hi long, start int, w long")
-    twice = windows.groupBy("h", "w").agg(F.min("lo").alias("a"), F.max("hi").alias("z")).where("a < z").select("h", "w")
-    many = windows.where("lo = hi").join(twice, ["h", "w"]).select("h", "ctx", "n", F.col("start").alias("first"), F.col("start").alias("last"))
+    windows = materialise(crowded.mapInPandas(explode, "h long, ctx long, n long, lo long, hi long, start int, w long"), "crowded")
+    twice = windows.groupBy("h", "w").agg(F.min("lo").alias("a"), F.max("hi").alias("z"), F.count("*").alias("weight")).where("a < z").select("h", "w", "weight")
+    many = skew_join(windows.where("lo = hi"), twice, ["h", "w"], "weight", windows.count(), hot_keys).select("h", "ctx", "n", F.col("start").alias("first"), F.col("start").alias("last"))
 
     settled = materialise(whole.unionByName(small).unionByName(many), "windows")
-    total = found.count()
-    hot = settled.where(F.col("n") > total / hot_keys + 1).drop("n")
-    cold = settled.where(F.col("n") <= total / hot_keys + 1).drop("n")
-    hits = found.join(F.broadcast(hot), ["h", "ctx"]).unionByName(found.join(cold, ["h", "ctx"]))
+    hits = skew_join(found, settled, ["h", "ctx"], "n", total, hot_keys)
     start = F.col("pos") - F.col("left") + F.col("first")
     spans = hits.select("doc_id", start.alias("s"), (F.col("pos") - F.col("left") + F.col("last") + length).alias("e")).groupBy("doc_id", "s").agg(F.max("e").alias("e"))
     return islands(spans)

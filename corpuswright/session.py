@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -28,6 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is removed when the driver's Python ends."""
+    sc = spark.sparkContext
+    made = getattr(sc, "_corpuswright_own", None)
+    if made is None:
+        made = f"{shared_dir(spark)}/corpuswright/{sc.applicationId}"
+        sc._corpuswright_own = made
+
+        def remove() -> None:
+            try:
+                path = sc._jvm.org.apache.hadoop.fs.Path(made)
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            except Exception:  # the session has ended already
+                pass
+
+        atexit.register(remove)
+    return made
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here.
 
@@ -35,6 +55,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     executor never recomputes what lies before it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpuswright/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -170,24 +170,26 @@ def common(a: np.ndarray, b: np.ndarray, need: int) -> bool:
     return len(a) - v.bit_count() >= need
 
 
-def leaks(documents: DataFrame, items: DataFrame, run: int = 12, share: float = 0.75, spread: float = 1.5, max_items: int = 100_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, run: int = 12, share: float = 0.75, spread: float = 1.5, max_items: int = 20_000, per_set: int = 500) -> DataFrame:
     """(doc_id, item_id) for each document that holds an item, fully or partly.
 
     ``items`` is held-out material of bounded size: more than ``max_items`` rows raise an error
-    instead of being broadcast.
+    instead of being broadcast. They are compiled in sets of ``per_set``, which bounds a set's tables to
+    its own vocabulary.
     """
     spark = documents.sparkSession
     rows = [(r[0], r[1]) for r in items.select("item_id", "text").where("item_id is not null").limit(max_items + 1).collect()]
     if len(rows) > max_items:
         raise ValueError(f"more than {max_items} evaluation items; split them into sets")
-    shared = spark.sparkContext.broadcast(Matcher(rows, run, share, spread))
+    sets = [Matcher(rows[i : i + per_set], run, share, spread) for i in range(0, len(rows), per_set)]
+    shared = spark.sparkContext.broadcast(sets)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        sets = shared.value
         for b in batches:
             ids, texts = b["doc_id"].to_numpy(), b["text"].tolist()
             for lo in range(0, len(texts), 1000):
-                hits = m.match(texts[lo : lo + 1000])
+                hits = [h for m in sets for h in m.match(texts[lo : lo + 1000])]
                 yield pd.DataFrame({"doc_id": ids[[lo + t for t, _ in hits]], "item_id": np.array([k for _, k in hits], dtype=np.int64)})
 
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull())

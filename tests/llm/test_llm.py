@@ -317,6 +317,7 @@ def test_leaks_edges(spark):
     items = spark.createDataFrame([(1, "Alpha, beta; gamma DELTA"), (2, None), (3, "..."), (4, "zz")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x alpha beta Gamma y delta"), (2, None), (3, ""), (4, "... ---"), (1, "x alpha beta Gamma y delta"), (5, "alpha gamma beta")], "doc_id long, text string")
     assert rows(contamination.leaks(docs, items)) == [(1, 1)]
+    assert rows(contamination.leaks(docs, items, per_set=1)) == [(1, 1)]
     assert rows(contamination.leaks(docs.where("false"), items)) == []
     assert rows(contamination.leaks(docs, items.where("false"))) == []
     with pytest.raises(ValueError):

@@ -1,14 +1,13 @@
 """Texts to sections: headings, labels, blocks.
 
-A document is one row until its lines are numbered; blocks are then formed by aggregation on
-(document, heading counter). The counter comes from arrays inside the row, so no window sorts a
-long document's lines in a separate stage. Null texts give no section; a text without a heading gives one block
+Lines are numbered by a running count of headings inside their document; blocks are then formed by
+aggregation on (document, count). A document's lines are bounded by its text. Null texts give no section; a text without a heading gives one block
 labelled ``unknown``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuswright.functions.text import word_count
@@ -34,12 +33,14 @@ def is_heading(line: Column, rules=HEADING_RULES) -> Column:
 
 
 def numbered_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, line, block, head): each line with the number of headings up to it."""
-    lines = docs.where(F.col(text).isNotNull()).select(key, F.split(text, "\n").alias("lines"))
-    flags = F.transform("lines", lambda x: F.when(is_heading(x), 1).otherwise(0))
-    run = F.aggregate(flags, F.array().cast("array<int>"), lambda acc, f: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + f)))
-    zipped = F.arrays_zip(F.col("lines").alias("line"), F.col("flags").alias("head"), F.col("run").alias("block"))
-    return lines.withColumn("flags", flags).withColumn("run", run).select(key, F.posexplode(zipped).alias("pos", "z")).select(key, "pos", "z.line", "z.head", "z.block")
+    """(key, pos, line, head, block): each line with the number of headings up to it.
+
+    A running sum inside each document, linear in its lines; aggregating by (key, block) afterwards
+    finds the rows already together and needs no second shuffle. Texts without a key are left out.
+    """
+    lines = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    lines = lines.withColumn("head", F.when(is_heading(F.col("line")), 1).otherwise(0))
+    return lines.withColumn("block", F.sum("head").over(Window.partitionBy(key).orderBy("pos")).cast("int"))
 
 
 def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

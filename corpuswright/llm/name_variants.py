@@ -254,7 +254,10 @@ def entities(names: DataFrame, short_forms: DataFrame | None = None, block: int
     rows = rows.withColumn("b", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("b", j).alias("x"), F.greatest("b", j).alias("y")))
     cells = rows.select("shard", "node", "word", "degree", "form", F.explode(meets).alias("cell"))
-    cells = cells.withColumn("bucket", F.pmod(F.xxhash64("shard", "cell"), F.lit(max(8, count // 20_000))).cast("int"))
+    buckets = max(32, count // 20_000)
+    cells = cells.withColumn("bucket", F.pmod(F.xxhash64("shard", "cell"), F.lit(buckets)).cast("int"))
+    # the walk costs far more than its bytes say: a stated number of partitions is not coalesced
+    cells = cells.repartition(min(buckets, 20_000), "bucket")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []

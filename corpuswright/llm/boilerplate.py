@@ -21,7 +21,7 @@ How it works
 Tokens that a third of all pages carry join through a broadcast of bounded size.
 
 Defined results: null and empty texts give no row; a page without a readable address forms a host
-of its own kind (the empty one); a page all of whose lines are template has no article and returns
+of its own kind (the empty one); a page without a language says nothing on the mix; a page all of whose lines are template has no article and returns
 all its lines; repeated rows of one section_id give each line once; other columns are ignored.
 """
 
@@ -149,7 +149,7 @@ def outside_lines(pages: DataFrame, least_pages: int = 3, share: float = 0.5, le
 
     ``pages``: section_id, original_text, source_url, lang.
     """
-    pages = pages.select("section_id", "original_text", "source_url", F.coalesce("lang", F.lit("")).alias("lang")).where("section_id is not null and original_text is not null")
+    pages = pages.select("section_id", "original_text", "source_url", F.lower(F.substring(F.trim(F.coalesce("lang", F.lit(""))), 1, 2)).alias("lang")).where("section_id is not null and original_text is not null")
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -168,7 +168,7 @@ def outside_lines(pages: DataFrame, least_pages: int = 3, share: float = 0.5, le
 
     seen = materialise(pages.mapInPandas(emit, "section_id long, host string, lang string, token long, n int, at double"), "tokens")
     total = seen.count()
-    by_lang = seen.groupBy("token", "lang").agg(F.count("*").alias("n"))
+    by_lang = seen.where("lang <> ''").groupBy("token", "lang").agg(F.count("*").alias("n"))
     mix = by_lang.groupBy("token").agg(F.sum("n").alias("weight"), (F.sum("n") - F.max("n")).alias("minor"))
     everywhere = mix.where((F.col("minor") >= 3) & (F.col("minor") >= least_mix * F.col("weight"))).select("token", "weight")
 

@@ -59,17 +59,20 @@ def severity_rank(severity: Column) -> Column:
     return F.when(severity == SEVERITIES[0], 3).when(severity == SEVERITIES[1], 2).otherwise(1)
 
 
-def grams(text: Column, n: int) -> Column:
-    """Sequences of n words, joined by blanks; [] if there are fewer words."""
-    w = words(text)
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+def grams(words_: Column, n: int) -> Column:
+    """Sequences of n of the words, joined by blanks; [] if there are fewer. ``words_`` should be a plain
+    column: an expression would be computed anew for every gram."""
+    if n == 1:
+        return words_
+    last = F.size(words_) - n + 1
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words_, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
 def rouge_n(pairs: DataFrame, key: str, candidate: str, reference: str, n: int) -> DataFrame:
     """(key, overlap, candidate_grams, reference_grams, f1): clipped multiset overlap of n-grams."""
     sides = []
     for side, c in ((0, candidate), (1, reference)):
-        flat = pairs.select(key, F.explode(grams(F.col(c), n)).alias("_gram"))
+        flat = pairs.select(key, words(F.col(c)).alias("_w")).select(key, F.explode(grams(F.col("_w"), n)).alias("_gram"))
         sides.append(flat.groupBy(key, "_gram").agg(F.count("*").alias("_n")).select(key, "_gram", *[(F.col("_n") if side == k else F.lit(0).cast("long")).alias(f"_{k}") for k in (0, 1)]))
     per = sides[0].unionByName(sides[1]).groupBy(key, "_gram").agg(F.sum("_0").alias("_0"), F.sum("_1").alias("_1"))
     s = per.groupBy(key).agg(F.sum(F.least("_0", "_1")).alias("overlap"), F.sum("_0").alias("candidate_grams"), F.sum("_1").alias("reference_grams"))

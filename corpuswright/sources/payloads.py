@@ -145,12 +145,10 @@ def rebuilt(index: Column) -> Column:
 
 
 def inverted_index(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, index): word -> positions of each non-blank text, inside the row."""
-    w = F.split(squeeze(F.coalesce(text, F.lit(""))), " ")
-    at = lambda word: F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i) == word)
-    rows = rows.select(key, w.alias("w")).where("w[0] <> ''")
-    words = F.array_distinct("w")
-    return rows.select(key, F.map_from_arrays(words, F.transform(words, at)).alias("index"))
+    """(key, index): word -> positions of each non-blank text, linear in the words of a text."""
+    flat = rows.select(key, F.posexplode(F.split(squeeze(F.coalesce(text, F.lit(""))), " ")).alias("p", "w")).where("w <> ''")
+    spots = flat.groupBy(key, "w").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    return spots.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
 
 
 def from_inverted_index(rows: DataFrame, key: str, index: str) -> DataFrame:

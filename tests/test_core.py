@@ -324,3 +324,22 @@ def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 2.0], [2.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     got = [r.x for r in df.select(scores.cosine(F.col("a"), F.col("b")).alias("x")).collect()]
     assert math.isclose(got[0], 0.8) and got[1] is None
+
+
+def test_verdicts(spark):
+    body = "We measured the thing and it worked well enough. It did so again later. And once more. " * 8
+    docs = spark.createDataFrame([(1, None), (2, " "), (3, "Methods\nShort text."), (4, "Methods\n" + body), (5, "References\n" + body), (6, "word " * 80), (7, "Abstract\n" + body)], "doc_id long, text string")
+    got = dict(filters.verdicts(docs, sections.sections(docs)).collect())
+    assert got == {1: "reject: empty", 2: "reject: empty", 3: "reject: below minimum", 4: "accept", 5: "reject: no research section", 6: "reject: no discourse", 7: "reject: no research section"}
+
+
+def test_digests_are_verbatim_and_unique(spark):
+    from corpuswright.operators import pipeline
+
+    rnd = random.Random(6)
+    text = lambda: "\n".join(h + "\n" + " ".join(f"The w{rnd.randrange(99)} improves w{rnd.randrange(99)} in trial w{rnd.randrange(99)} here." for _ in range(12)) for h in ("Introduction", "Methods", "Results", "References"))
+    docs = spark.createDataFrame([(i, text()) for i in range(4)] + [(9, None), (10, "")], "doc_id long, text string")
+    got = pipeline.digests(docs).collect()
+    source = {r.doc_id: " ".join(r.text.split()) for r in docs.collect() if r.text}
+    assert {r.doc_id for r in got} == {0, 1, 2, 3} and len({r.row_id for r in got}) == len(got)
+    assert all(r.text in source[r.doc_id] for r in got) and {r.section for r in got} == {"introduction", "methodology", "results"}

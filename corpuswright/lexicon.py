@@ -22,6 +22,8 @@ SECTION_WEIGHT = {"methodology": 1.3, "results": 1.3, "experiments": 1.2, "datas
 OTHER_WEIGHT = 0.9
 MIN_SENTENCES = {"methodology": 3, "introduction": 2, "background": 2, "related_work": 2, "experiments": 2, "results": 2, "discussion": 2, "unknown": 2}
 OTHER_MIN = 1
+# a label that is not listed has the bound of unknown
+MAX_SENTENCES = dict.fromkeys(SECTION_ORDER, 1000) | {"abstract": 50, "methodology": 2000, "experiments": 2000, "results": 2000, "unknown": 2000}
 # Signs of technical content and their weights; portable regular expressions on lower-case text.
 TECHNICAL_RULES = (
     (r"[0-9]+(?:\.[0-9]+)?\s*%", 0.6), (r"[0-9]+(?:\.[0-9]+)?\s*(?:ms|gb|mb|khz|hz|kwh|kg|mm|cm|db|mv|k|s|w)(?:[^a-z]|$)", 0.4), (r"p-value|confidence interval|95% ci", 0.6), (r"accuracy|precision|recall|specificity|sensitivity|fidelity", 0.5),

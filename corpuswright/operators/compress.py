@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuswright.functions.text import ratio4, token_estimate, word_count, word_set
-from corpuswright.lexicon import MIN_SENTENCES, NON_RESEARCH, OTHER_MIN, SECTION_ORDER
+from corpuswright.lexicon import MAX_SENTENCES, MIN_SENTENCES, NON_RESEARCH, OTHER_MIN, SECTION_ORDER
 from corpuswright.operators.ranking import top_n
+from corpuswright.operators.scores import technical_score
 from corpuswright.operators.skew import skew_join
 
 
@@ -37,14 +38,18 @@ def minimum_cover(sentences: DataFrame, paper: str, section: str, score: str, or
     return best.where(F.col("rank") <= minimum_of(F.col(section)))
 
 
-def budgeted(sentences: DataFrame, paper: str = "paper_id", section: str = "section", text: str = "text", score: str = "composite", seq: str = "row_id", floor: float = 0.65, goal: float = 0.70, ceiling: float = 0.75, most: int = 1000, threshold: float = 0.7) -> DataFrame:
+def budgeted(sentences: DataFrame, paper: str = "paper_id", section: str = "section", text: str = "text", score: str = "composite", seq: str = "row_id", floor: float = 0.65, goal: float = 0.70, ceiling: float = 0.75, most: dict[str, int] = MAX_SENTENCES, threshold: float = 0.7, rank: str | None = None) -> DataFrame:
     """(paper, seq, reason, tokens) of each sentence kept.
 
     First the minimum cover of each section, then the rest by descending score with these tests in
-    order: stop when the goal is met; skip a full section; past the floor skip a near copy of a kept
+    order: stop when the goal is met; skip a section that holds its maximum (``most``, the cover counts;
+    a label it does not list has that of unknown); past the floor skip a near copy of a kept
     sentence of the section; past the floor skip what would cross the ceiling; else keep. A skipped
     sentence is never seen again. Budgets are shares of the paper's own token sum, rounded half to even.
 
+    ``reason``: min_coverage, or for what fills the budget textrank+technical, textrank, technical or
+    budget_fill, by a graph rank (column ``rank``; none without it) above 0 and a technical score from 0.25 on.
+
     The scan is a stream over rows sorted by (paper, turn): a paper's sentences are never gathered, the
     state is what has been kept. Rows without paper or text are left out; ties go to the smaller ``seq``.
     """
@@ -52,15 +57,19 @@ def budgeted(sentences: DataFrame, paper: str = "paper_id", section: str = "sect
     total = base.groupBy(paper).agg(F.sum("tokens").alias("total"), F.count("*").alias("weight"))
     cover = minimum_cover(base, paper, section, score, [seq]).select(seq, F.lit(1).alias("covered"))
     rows = skew_join(base, total, [paper], "weight").join(cover, seq, "left")
+    ranked = F.coalesce(F.col(rank), F.lit(0.0)) > 0 if rank else F.lit(False)
+    technical = technical_score(F.col(text)) >= 0.25
+    merit = F.when(ranked & technical, "textrank+technical").when(ranked, "textrank").when(technical, "technical").otherwise("budget_fill")
+    rows = rows.withColumn("reason", F.when(F.col("covered") == 1, "min_coverage").otherwise(merit))
     turn = F.struct(F.coalesce(1 - F.col("covered"), F.lit(1)).alias("late"), (-F.col(score)).alias("score"), F.col(seq).alias("seq"))
-    rows = rows.select(F.col(paper).alias("paper"), F.col(section).alias("section"), "tokens", "total", turn.alias("turn"), word_set(F.col(text)).alias("words"))
+    rows = rows.select(F.col(paper).alias("paper"), F.col(section).alias("section"), "tokens", "total", "reason", turn.alias("turn"), word_set(F.col(text)).alias("words"))
     rows = rows.repartition("paper").sortWithinPartitions("paper", "turn")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, used, kept, full, done = None, 0, {}, {}, False
         for b in batches:
             out = []
-            for paper_, section_, w, total_, turn_, words in zip(b["paper"], b["section"], b["tokens"], b["total"], b["turn"], b["words"]):
+            for paper_, section_, w, total_, reason, turn_, words in zip(b["paper"], b["section"], b["tokens"], b["total"], b["reason"], b["turn"], b["words"]):
                 if paper_ != now:
                     now, used, kept, full, done = paper_, 0, {}, {}, False
                     low, want, high = (round(x * total_) for x in (floor, goal, ceiling))
@@ -68,16 +77,15 @@ def budgeted(sentences: DataFrame, paper: str = "paper_id", section: str = "sect
                     if done or (used >= want and used >= low):
                         done = True
                         continue
-                    if full.get(section_, 0) >= most:
+                    if full.get(section_, 0) >= most.get(section_, most["unknown"]):
                         continue
                     mine = set(words)
                     if used + w >= low and any(len(mine & k) >= threshold * len(mine | k) for k in kept.get(section_, ()) if mine and k):
                         continue
                     if used + w > high and used >= low:
                         continue
-                    reason = "fill"
                 else:
-                    mine, reason = set(words), "cover"
+                    mine = set(words)
                 used += w
                 full[section_] = full.get(section_, 0) + 1
                 kept.setdefault(section_, []).append(mine)

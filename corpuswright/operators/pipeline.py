@@ -32,5 +32,5 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     flat = materialise(sentences_of(docs, key, text), "sentences")
     rank = scores.graph_rank(flat, [key, "section"], "row_id", F.col("text"), ["idx"]).select("row_id", "score")
     scored = flat.join(rank, "row_id").withColumn("composite", F.round(scores.composite(F.col("score"), scores.technical_score(F.col("text")), F.col("section")), 9))
-    kept = compress.budgeted(scored.withColumn("paper", F.col(key).cast("string")), paper="paper")
+    kept = compress.budgeted(scored.withColumn("paper", F.col(key).cast("string")), paper="paper", rank="score")
     return flat.join(kept.select(F.col("seq").alias("row_id"), "reason", "tokens"), "row_id").select(key, "row_id", "section", "idx", "text", "reason", "tokens")

@@ -223,7 +223,7 @@ def q17b_budget(spark: SparkSession, d: str) -> DataFrame:
 
     rows = table(spark, d, "extracted_sentences").select("row_id", "paper_id", F.coalesce("section", F.lit("unknown")).alias("section"), "text", F.coalesce("textrank_score", F.lit(0.0)).alias("r"))
     rows = rows.withColumn("composite", F.round(composite(F.col("r"), technical_score(F.col("text")), F.col("section")), 9))
-    return compress.budgeted(rows).select(F.col("paper").alias("paper_id"), F.col("seq").alias("row_id"), "reason", "tokens")
+    return compress.budgeted(rows, rank="r").select(F.col("paper").alias("paper_id"), F.col("seq").alias("row_id"), "reason", "tokens")
 
 
 SEC4 = "upper(left(rpad(regexp_replace(e.section, '[^A-Za-z]', '', 'g'), 4, 'x'), 4))"

@@ -208,6 +208,21 @@ def test_budgeted_properties(spark):
     assert all(0.65 <= used[p] / total[p] <= 0.76 for p in total)
 
 
+def test_budgeted_maxima_and_reasons(spark):
+    """Each section stops at its own maximum; every sentence kept says why."""
+    data = [(s * 10_000 + i, "P", name, f"w{s}x{i} a{s}x{i} b{s}x{i}", 1.0 - i * 1e-5) for s, (name, n) in enumerate((("abstract", 120), ("introduction", 1100), ("results", 2100), ("odd", 2100))) for i in range(n)]
+    df = spark.createDataFrame(data, "row_id long, paper_id string, section string, text string, composite double")
+    got = compress.budgeted(df, floor=1.0, goal=1.0, ceiling=1.0).collect()
+    n = {}
+    for r in got:
+        n[r.seq // 10_000] = n.get(r.seq // 10_000, 0) + 1
+    assert n == {0: 50, 1: 1000, 2: 2000, 3: 2000}
+    data = [(1, "plain one", 0.9, 9.0), (2, "cuts latency by 40 %", 0.9, 5.0), (3, "plain two", 0.9, 4.0), (4, "cuts energy by 50 %", 0.0, 3.0), (5, "plain three", None, 2.0)]
+    df = spark.createDataFrame([(i, "P", "abstract", t, c, r) for i, t, r, c in data], "row_id long, paper_id string, section string, text string, composite double, r double")
+    got = {r.seq: r.reason for r in compress.budgeted(df, floor=1.0, goal=1.0, ceiling=1.0, rank="r").collect()}
+    assert got == {1: "min_coverage", 2: "textrank+technical", 3: "textrank", 4: "technical", 5: "budget_fill"}
+
+
 def test_provenance_id(spark):
     df = spark.createDataFrame([("P1", "results", 3), ("P1", "x", 120), (None, "abc", 1)], "p string, s string, i int")
     assert [r.x for r in df.select(compress.provenance_id(F.col("p"), F.col("s"), F.col("i")).alias("x")).collect()][:2] == ["P1-RESU-03", "P1-XXXX-120"]

@@ -119,6 +119,57 @@ def cosine_edges(weights: DataFrame, group: list[str], item: str, cut: float) ->
     return dots.join(na, [*group, "a"]).join(nb, [*group, "b"]).select(*group, "a", "b", sim.alias("sim")).where(F.col("sim") >= cut)
 
 
+def all_cosine_edges(weights: DataFrame, group: list[str], item: str, cut: float, block: int = 256) -> DataFrame:
+    """(group, a, b, sim), a < b: as :func:`cosine_edges`, for groups of any size and without a sample.
+
+    A group is cut into blocks of about ``block`` items; every pair of blocks is one dense product in a
+    task, so no task holds a group and no partial sum is shuffled. Items without terms have no edge.
+    """
+    vectors = weights.groupBy(*group, item).agg(F.collect_list(F.struct("term", "w")).alias("vector"))
+    vectors = materialise(vectors.select(*group, item, F.col("vector.term").alias("terms"), F.col("vector.w").alias("ws")), "vectors")
+    n = vectors.groupBy(*group).agg(F.count("*").alias("items"), F.count("*").alias("weight")).where("items > 1")
+    placed = skew_join(vectors, n, group, "weight").withColumn("blocks", F.ceil(F.col("items") / F.lit(block)))
+    placed = placed.withColumn("k", F.pmod(F.xxhash64(item), "blocks")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.withColumn("lo", F.least("k", "j")).withColumn("hi", F.greatest("k", "j"))
+    # at most two blocks a row
+    gathered = placed.groupBy(*group, "lo", "hi").agg(F.collect_list(F.struct(F.col(item).alias("item"), (F.col("k") == F.col("lo")).alias("left"), "terms", "ws")).alias("members"))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out, size = [], 0
+            for *names, lo, hi, members in zip(*(b[g] for g in group), b["lo"], b["hi"], b["members"]):
+                index: dict[str, int] = {}
+                for m in members:
+                    for t in m["terms"]:
+                        index.setdefault(t, len(index))
+                unit = np.zeros((len(members), len(index)))
+                for i, m in enumerate(members):
+                    unit[i, [index[t] for t in m["terms"]]] = m["ws"]
+                unit /= np.sqrt((unit * unit).sum(axis=1))[:, None]
+                ids = np.array([m["item"] for m in members])
+                if lo == hi:
+                    sim = unit @ unit.T
+                    x, y = np.nonzero(np.triu(sim >= cut, 1))
+                    found, one, two = sim[x, y], ids[x], ids[y]
+                else:
+                    left = np.array([m["left"] for m in members])
+                    sim = unit[left] @ unit[~left].T
+                    x, y = np.nonzero(sim >= cut)
+                    found, one, two = sim[x, y], ids[left][x], ids[~left][y]
+                if len(found):
+                    first = one < two
+                    out.append(pd.DataFrame({**dict(zip(group, names)), "a": np.where(first, one, two), "b": np.where(first, two, one), "sim": found}))
+                    size += len(found)
+                if size > 100_000:
+                    yield pd.concat(out)
+                    out, size = [], 0
+            if out:
+                yield pd.concat(out)
+
+    kind = {f.name: f.dataType.simpleString() for f in weights.schema}
+    return gathered.mapInPandas(scan, ", ".join([*(f"`{g}` {kind[g]}" for g in group), f"a {kind[item]}", f"b {kind[item]}", "sim double"]))
+
+
 def sampled(items: DataFrame, group: list[str], order: list[str], most: int = 150) -> DataFrame:
     """At most ``most`` items of each group, evenly over its order: positions int(i * n / most).
 

@@ -65,6 +65,14 @@ def q14_cosine_edges(spark: SparkSession, d: str) -> DataFrame:
     return scores.cosine_edges(w, ["paper_id", "section"], "row_id", 0.3).withColumn("sim", F.round("sim", 6))
 
 
+@query()
+def q14b_all_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges among all sentences of each section, whatever its size."""
+    rows = table(spark, d, "extracted_sentences").where("paper_id is not null and section is not null and text is not null").select("paper_id", "section", "row_id", "text")
+    w = scores.term_weights(rows, ["paper_id", "section"], "row_id", "text")
+    return scores.all_cosine_edges(w, ["paper_id", "section"], "row_id", 0.3).withColumn("sim", F.round("sim", 6))
+
+
 @query(f"""WITH RECURSIVE {_sample_sql(150)}, t AS (SELECT paper_id, section, row_id, {terms_sql('text')} AS ts FROM k),
   n AS (SELECT paper_id, section, count(*) AS n FROM t GROUP BY ALL), f AS (SELECT paper_id, section, row_id, len(ts) AS l, unnest(ts) AS term FROM t),
   tf AS (SELECT paper_id, section, row_id, l, term, count(*) AS c FROM f GROUP BY ALL), df AS (SELECT paper_id, section, term, count(*) AS df FROM tf GROUP BY ALL),

@@ -335,6 +335,28 @@ def test_empty_tables(spark):
     assert joins.nearest(spark.createDataFrame([], "id long, v array<double>"), "id", "v", 50, 2).count() == 0
 
 
+def test_all_edges_against_brute_force(spark, tmp_path):
+    """Every sentence of a section of more than 150 takes part, across blocks."""
+    from corpuswright.plans.registry import QUERIES
+
+    rnd = random.Random(3)
+    data = [(i, "P", "results" if i < 300 else "abstract", " ".join(f"w{rnd.randrange(60)}" for _ in range(rnd.randrange(3, 9)))) for i in range(340)]
+    data += [(900, "Q", "results", "alone here"), (901, "P", "results", "the of"), (902, None, "results", "w1 w2"), (903, "P", "results", None)]
+    df = spark.createDataFrame(data, "row_id long, paper_id string, section string, text string")
+    df.write.parquet(f"{tmp_path}/extracted_sentences.parquet")
+    vectors = {}
+    for sec in ("results", "abstract"):
+        bags = {i: t.split() if i != 901 else [] for i, p, s, t in data if p == "P" and s == sec and t}
+        df_ = {w: sum(w in b for b in bags.values()) for b in bags.values() for w in b}
+        for i, b in bags.items():
+            vectors[i] = (sec, {w: b.count(w) / len(b) * (math.log((1 + len(bags)) / (1 + df_[w])) + 1) for w in b})
+    norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, (_, v) in vectors.items()}
+    want = {(a, b): s for a in vectors for b in vectors if a < b and vectors[a][0] == vectors[b][0] and norm[a] and norm[b]
+            and (s := sum(x * vectors[b][1].get(w, 0) for w, x in vectors[a][1].items()) / norm[a] / norm[b]) >= 0.3}
+    got = {(r.a, r.b): r.sim for r in QUERIES["q14b_all_edges"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and len(got) > 1000 and all(abs(got[k] - want[k]) < 1e-5 for k in got)
+
+
 def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 2.0], [2.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     got = [r.x for r in df.select(scores.cosine(F.col("a"), F.col("b")).alias("x")).collect()]

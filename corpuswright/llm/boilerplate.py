@@ -8,9 +8,10 @@ How it works
    and the site's own name masked, each a 64-bit hash. A page contributes each token once, with
    how often it has it.
 2. Tokens of a host with the same occurrence vector over its pages form an equivalence class; the vector
-   is kept as an order-free hash, so a class is a group-by and no page list is gathered. A class is
-   valid if it occurs on enough of the host's pages and keeps its place, at the head or the foot of
-   the page: it belongs to the host's template.
+   is kept as an order-free hash, so a class is a group-by and no page list is gathered. What stands on
+   every page is one class, from the menu to the copyright: a class that occurs on enough of the host's
+   pages falls into a run in the upper and one in the lower half of the page, and a token belongs to the
+   host's template if itself or its run keeps its place at the head or the foot of the page.
 3. Sites share their software. A token that appears on pages of several languages in a mix no prose
    has is a template token of all hosts (advertisements, comment forms, related links and the like
    that stand inside the page and on some pages only).
@@ -176,11 +177,12 @@ def outside_lines(pages: DataFrame, least_pages: int = 3, share: float = 0.5, le
     # equivalence classes: tokens of a host with one occurrence vector
     vector = F.bit_xor(F.xxhash64("section_id", "n")).alias("vector")
     tokens = seen.groupBy("host", "token").agg(vector, F.count("*").alias("support"), F.avg("at").alias("at")).where(F.col("support") >= least_pages)
-    classes = tokens.groupBy("host", "vector", "support").agg(F.count("*").alias("size"), F.min("at").alias("from"), F.max("at").alias("to"), F.avg("at").alias("mid"))
-    classes = materialise(classes, "classes")
-    hosts = classes.groupBy("host").agg(F.count("*").alias("weight")).join(sizes, "host")
-    valid = skew_join(classes, hosts, ["host"], "weight").where((F.col("support") >= share * F.col("pages")) & ((F.col("mid") < 0.25) | (F.col("mid") > 0.75)))
-    local = tokens.join(valid.select("host", "vector", "support"), ["host", "vector", "support"]).select("host", "token", F.col("support").alias("weight"))
+    tokens = tokens.withColumn("lower", F.col("at") >= 0.5)
+    runs = materialise(tokens.groupBy("host", "vector", "support", "lower").agg(F.avg("at").alias("mid")), "runs")
+    hosts = runs.groupBy("host").agg(F.count("*").alias("weight")).join(sizes, "host")
+    often = skew_join(runs, hosts, ["host"], "weight").where(F.col("support") >= share * F.col("pages"))
+    edge = lambda c: (F.col(c) < 0.25) | (F.col(c) > 0.75)
+    local = tokens.join(often.select("host", "vector", "support", "lower", "mid"), ["host", "vector", "support", "lower"]).where(edge("at") | edge("mid")).select("host", "token", F.col("support").alias("weight"))
 
     marked = skew_join(seen.select("section_id", "token"), everywhere, ["token"], "weight", total)
     marked = marked.unionByName(skew_join(seen.select("section_id", "host", "token"), local, ["host", "token"], "weight", total).select("section_id", "token"))

@@ -102,7 +102,7 @@ def test_survivors_rounds_agree(spark):
 
 def test_consensus_majority():
     mk = lambda i, v, n: {"record_id": i, "value": v, "n": n, "trust": 1, "ts": 0}
-    picked = survivors.choose("title", [mk(1, "a red panel of glass", 1), mk(2, "a blue panel of glass", 3), mk(3, "a blue panel of brass", 1)], None, "trust")
+    picked = survivors.choose("title", [mk(1, "a red panel of glass", 1), mk(2, "a blue panel of glass", 3), mk(3, "a blue panel of brass", 1)], "trust")
     assert picked["record_id"] == 2
 
 

@@ -17,13 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (local tests) a temporary folder is made, once per session.
+    Only where the setting is absent and the session is local (tests) a temporary folder is made, once
+    per session; on a cluster the setting is required.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     made = getattr(spark.sparkContext, "_corpuswright_dir", None)
     if made is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         made = "file://" + tempfile.mkdtemp(prefix="corpuswright-")
         spark.sparkContext._corpuswright_dir = made
     return made
@@ -57,4 +60,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._corpuswright_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove written tables that no later plan reads: everything built on them must be written itself."""
+    for t in tables:
+        path = getattr(t, "_corpuswright_path", None)
+        if path is not None:
+            sc = t.sparkSession.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)

@@ -380,3 +380,11 @@ def test_digests_are_verbatim_and_unique(spark):
     source = {r.doc_id: " ".join(r.text.split()) for r in docs.collect() if r.text}
     assert {r.doc_id for r in got} == {0, 1, 2, 3} and len({r.row_id for r in got}) == len(got)
     assert all(r.text in source[r.doc_id] for r in got) and {r.section for r in got} == {"introduction", "methodology", "results"}
+
+
+def test_rank_keeps_null_keys(spark):
+    from corpuswright.operators.ranking import distributed_rank
+
+    df = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a")], "i int, g string")
+    got = sorted((r.i, r.g, r["rank"]) for r in distributed_rank(df, ["g"], ["i"]).collect())
+    assert got == [(1, None, 1), (2, None, 2), (3, "a", 1), (4, "a", 2)]

@@ -8,12 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpuswright.lexicon import WIDE_LETTERS
+
 # Elements whose content is noise, and elements that end a line.
 NOISE_TAGS = ("script", "style", "nav", "header", "footer", "aside", "form", "noscript", "iframe", "svg")
 BLOCK_TAGS = ("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "br", "section", "article", "table")
 # Character entities and what they stand for; the ampersand comes last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&ndash;", "-"), ("&mdash;", "-"), ("&amp;", "&"))
 WORD = r"[\p{L}\p{N}_]+"
+TERM = r"[\p{L}\p{N}][\p{L}\p{N}_-]*[\p{L}\p{N}_]"
 
 
 def unescape(text: Column) -> Column:
@@ -84,8 +87,14 @@ def word_set(text: Column) -> Column:
 
 
 def terms(text: Column, stop: tuple[str, ...], least: int = 2) -> Column:
-    """Words of at least ``least`` letters that are no stop words, in order."""
-    return F.filter(words(text), lambda w: (F.length(w) >= least) & ~w.isin(*stop))
+    """Words of at least ``least`` (two or more) letters, digits, low lines and inner hyphens that are no stop words, in order."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
+    return F.filter(found, lambda w: (F.length(w) >= least) & ~w.isin(*stop))
+
+
+def wide_as_letter(text: Column) -> Column:
+    """Lower case, letters beyond ASCII replaced by one, so that word boundaries are those of any script; '' for null."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), WIDE_LETTERS, "x")
 
 
 def mark_sentences(text: Column) -> Column:
@@ -133,6 +142,28 @@ def patent_url(key: Column, base: str = "https://patents.example/patent/") -> Co
     return F.concat(F.lit(base), key, F.lit("/en"))
 
 
+def quoted(text: Column) -> Column:
+    """Percent-encoded for an address; blanks as %20."""
+    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+
+
+# Offices whose documents a registry shows, and the registry's name and address.
+REGISTRIES = (
+    (("US",), "USPTO Public Search", "https://ppubs.uspto.gov/pubwebapp/external.html?q={}&db=USPAT"),
+    (("EP", "WO", "DE", "GB", "FR", "CN", "JP", "KR", "CA", "NL"), "Espacenet", "https://worldwide.espacenet.com/patent/search?q=pn%3D{}"),
+)
+
+
+def registry_links(key: Column) -> Column:
+    """map registry -> address of a patent key: the open index always, the office's own registry where there is one; empty for ''."""
+    pairs = [F.struct(F.lit("Google Patents").alias("n"), F.concat(F.lit("https://patents.google.com/patent/"), key, F.lit("/en")).alias("u"))]
+    for offices, name, address in REGISTRIES:
+        left, right = address.split("{}")
+        pairs.append(F.when(F.substring(key, 1, 2).isin(*offices), F.struct(F.lit(name).alias("n"), F.concat(F.lit(left), key, F.lit(right)).alias("u"))))
+    pairs.append(F.struct(F.lit("Lens.org").alias("n"), F.concat(F.lit("https://www.lens.org/lens/patent/"), key).alias("u")))
+    return F.when(key == "", F.create_map().cast("map<string,string>")).otherwise(F.map_from_entries(F.array_compact(F.array(*pairs))))
+
+
 def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1))
 
@@ -145,11 +176,38 @@ def source_label(url: Column, rules: tuple[tuple[str, str], ...], other: str) ->
     return out.otherwise(other)
 
 
-def near_dates_year(text: Column) -> Column:
-    """Year in the first four characters, if they are digits."""
+def year_of(text: Column) -> Column:
+    """Year in the first four characters, null if they are no digits."""
     return F.when(F.substring(text, 1, 4).rlike("^[0-9]{4}$"), F.substring(text, 1, 4).cast("int"))
 
 
+# Abbreviations and initials whose full stop ends no sentence.
+ABBREVIATION = r"(^|[^\p{L}\p{N}_])(e\.g|i\.e|et al|vs|cf|Fig|Figs|Eq|Eqs|Sec|No|Dr|Prof|Mr|Mrs|Ms|St|approx|resp|[A-Z])\.(\s)"
+
+
+def live_sentences(text: Column, fewest: int = 3) -> Column:
+    """Sentences as the live pipeline takes them: ends of sentences in front of a capital, digit or quotation mark; pieces of
+    fewer than ``fewest`` words that start with no capital and hold no number or sign join the sentence before;
+    of the rest those with two words or some letter or digit stay. [] for null and blank.
+
+    Decimals, initials, abbreviations of one or two letters and enumerations do not end a sentence.
+    """
+    t = F.trim(F.coalesce(text, F.lit("")))
+    # an end mark that an abbreviation, an initial or a number explains is set aside for the time of the split
+    kept = t
+    for _ in range(2):  # neighbours share the blank between them
+        kept = F.regexp_replace(kept, ABBREVIATION, "$1$2\u0002$3")
+    parts = F.split(F.regexp_replace(kept, r"([.!?][\"')\]]*)\s+([\"'(\[]?[\p{Lu}0-9])", "$1\u0001$2"), "\u0001")
+    parts = F.filter(F.transform(parts, lambda p: F.trim(F.replace(p, F.lit("\u0002"), F.lit(".")))), lambda p: p != "")
+    small = lambda p: (F.size(F.split(p, r"\s+")) < fewest) & ~p.rlike(r"^\p{Lu}") & ~p.rlike(r"[0-9=><+±%-]")
+    joined = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda out, p: F.when((F.size(out) > 0) & small(p), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat_ws(" ", F.element_at(out, -1), p)))).otherwise(F.concat(out, F.array(p))),
+    )
+    return F.filter(joined, lambda p: (F.size(F.split(p, r"\s+")) >= 2) | p.rlike("[a-zA-Z0-9]"))
+
+
 def ratio4(x: Column) -> Column:
     """Round half up to 4 places in plain double steps (equal in every engine)."""
     return F.floor(x * F.lit(10000.0) + F.lit(0.5)) / F.lit(10000.0)

@@ -9,27 +9,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuswright.functions.text import words
-from corpuswright.lexicon import EVIDENCE_CUES, SEVERITIES
-from corpuswright.operators.lookup import any_hit
+from corpuswright.lexicon import SEVERITIES
+from corpuswright.operators.ranking import distributed_rank
+from corpuswright.session import materialise
 
 
-def leader_clusters(weights: DataFrame, item: str, cut: float = 0.15, most: int = 20_000) -> DataFrame:
+def leader_clusters(weights: DataFrame, item: str, cut: float = 0.15, block: int = 5_000) -> DataFrame:
     """(item, leader): in order of item, each joins the most similar leader of at least ``cut``, else leads.
 
-    The order makes it sequential, so it is for small sets (topics, held-out items): more than ``most`` items
-    raise an error. Ties go to the earlier leader.
+    The order makes it sequential. Items go through in blocks of ``block``: a round joins the block's vectors with all
+    leaders so far on shared terms, distributed; only what is left, the block's own order, is settled in one task. Leaders are a
+    written table. Ties go to the earlier leader; an item without terms leads itself.
     """
-    n = weights.select(item).distinct().count()
-    if n > most:
-        raise ValueError(f"{n} items: leader clustering takes at most {most}")
-    gathered = weights.groupBy(item).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v")).withColumn("all", F.lit(0))
+    one = weights.groupBy(item).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    one = distributed_rank(one.withColumn("_all", F.lit(0)), ["_all"], [item], "_p").drop("_all")
+    one = materialise(one.withColumn("_round", F.floor((F.col("_p") - 1) / block).cast("int")), "vectors")
+    kind = weights.schema[item].dataType.simpleString()
+    schema = f"`{item}` {kind}, leader {kind}"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         leaders, out = [], []
-        for key, v in sorted(zip(pdf[item], pdf["v"]), key=lambda x: x[0]):
+        for key, v, norm, old, sim in sorted(zip(pdf[item], pdf["v"], pdf["norm"], pdf["old"], pdf["sim"]), key=lambda x: x[0]):
             v = dict(v)
-            norm = math.sqrt(sum(x * x for x in v.values()))
-            best, at = cut, None
+            best, at = (sim, old) if sim == sim and sim is not None and sim >= cut else (cut, None)
             for other, u, un in leaders:
                 s = sum(x * u[t] for t, x in v.items() if t in u) / (norm * un) if norm and un else 0.0
                 if s > best or (s == best and at is None):
@@ -40,14 +42,23 @@ def leader_clusters(weights: DataFrame, item: str, cut: float = 0.15, most: int
             out.append((key, at))
         return pd.DataFrame(out, columns=[item, "leader"])
 
-    return gathered.groupBy("all").applyInPandas(run, f"{item} long, leader long")
-
-
-def first_evidence(rows: DataFrame, key: str, text: str, stage: Column, order: list[Column], cues=EVIDENCE_CUES) -> DataFrame:
-    """(key, stage, evidence): the first text with a cue word, by stage and then by order."""
-    found = rows.where(any_hit(F.col(text), list(cues))).withColumn("_stage", stage)
-    pick = F.min_by(F.struct(F.col("_stage").alias("stage"), F.col(text).alias("evidence")), F.struct("_stage", *order))
-    return found.groupBy(key).agg(pick.alias("p")).select(key, "p.stage", "p.evidence")
+    rounds = (one.agg(F.max("_round")).first()[0] or 0) + 1
+    done, leading = None, None
+    for r in range(rounds):
+        part = one.where(F.col("_round") == r)
+        if leading is None:
+            part = part.withColumn("old", F.lit(None).cast(kind)).withColumn("sim", F.lit(None).cast("double"))
+        else:
+            flat = lambda df, k, n: df.select(F.col(item).alias(k), F.col("norm").alias(n), F.explode("v").alias("term", f"w_{k}"))
+            dots = flat(part, "a", "na").join(flat(leading, "b", "nb"), "term").groupBy("a", "b", "na", "nb").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("dot"))
+            dots = dots.withColumn("sim", F.col("dot") / (F.col("na") * F.col("nb"))).where(F.col("sim") >= cut)
+            best = dots.groupBy("a").agg(F.max("sim").alias("sim"), F.min_by("b", F.struct(-F.col("sim"), "b")).alias("old"))
+            part = part.join(best.withColumnRenamed("a", item), item, "left")
+        got = materialise(part.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, schema), "led")
+        new = one.where(F.col("_round") == r).join(got.where(F.col(item) == F.col("leader")).select(item), item)
+        leading = materialise(new if leading is None else leading.unionByName(new), "leaders") if r + 1 < rounds else leading
+        done = got if done is None else done.unionByName(got)
+    return done
 
 
 def cyclic(values: tuple[str, ...], position: Column) -> Column:
@@ -106,13 +117,17 @@ def rouge_l(pairs: DataFrame, key: str, candidate: str, reference: str) -> DataF
 
 
 def status_rollup(rows: DataFrame, status: str, relevant: Column) -> DataFrame:
-    """One row: overall status from the status of each source (failed, empty, skipped, active)."""
+    """One row: overall status from the status of each source; skipped sources do not count as active.
+
+    Anything relevant makes a success, a partial one where some source failed, was empty or skipped. Without: all skipped; all
+    active ones empty; all active ones failed; no source returned anything (RETRIEVAL_FAILED); else no results.
+    """
     s = rows.agg(
         F.count("*").alias("sources"), F.count_if(F.col(status).isin("SOURCE_UNAVAILABLE", "AUTHENTICATION_FAILED", "RATE_LIMITED")).alias("failed"), F.count_if(F.col(status) == "NO_RESULTS").alias("empty"),
         F.count_if(F.col(status) == "SKIPPED_NO_CREDENTIALS").alias("skipped"), F.coalesce(F.max(relevant.cast("int")), F.lit(0)).alias("relevant"))
     active = F.col("sources") - F.col("skipped")
     overall = (
         F.when((F.col("relevant") > 0) & ((F.col("failed") > 0) | (F.col("skipped") > 0) | (F.col("empty") > 0)), "PARTIAL_SUCCESS").when(F.col("relevant") > 0, "SUCCESS").when(active == 0, "SKIPPED_NO_CREDENTIALS")
-        .when(F.col("empty") == active, "NO_RESULTS").when(F.col("failed") == active, "SOURCE_UNAVAILABLE").otherwise("NO_RESULTS")
+        .when(F.col("empty") == active, "NO_RESULTS").when(F.col("failed") == active, "SOURCE_UNAVAILABLE").when(F.col("failed") + F.col("empty") == active, "RETRIEVAL_FAILED").otherwise("NO_RESULTS")
     )
     return s.withColumn("overall", overall)

@@ -29,20 +29,41 @@ def distinct_texts_capped(items: DataFrame, group: str, text: str, seq: str, cap
     return top_n(flat, [group], [seq], cap)
 
 
-def filled(name: str, seq: str = "seq", empty: Column | None = None) -> Column:
-    """First non-empty value of a column by order."""
-    v = F.col(name)
-    usable = v.isNotNull() & ((F.trim(v) != "") if empty is None else ~empty)
-    return F.min_by(F.when(usable, v), F.when(usable, F.col(seq))).alias(name)
+# Names that stand for an unknown applicant.
+PLACEHOLDERS = ("Unknown Assignee", "Patent Holder", "EPO Applicant")
 
 
-def merge_by_key(df: DataFrame, key: Column, seq: str, fields: list[str], sources: str = "source") -> DataFrame:
-    """One row a key: first non-empty value of each field, sorted set of sources, number of rows."""
+def filled(name: str, seq: str = "seq", kind: str = "string") -> Column:
+    """First non-empty value of a column (a string, or an array of them) by order; of an applicant the first that
+    names somebody, else the first."""
+    v, at = F.col(name), F.col(seq)
+    usable = F.size(v) > 0 if kind.startswith("array") else v.isNotNull() & (F.trim(v) != "")
+    first = F.min_by(F.when(usable, v), F.when(usable, at))
+    if name == "applicant":
+        real = usable & ~v.isin(*PLACEHOLDERS)
+        first = F.coalesce(F.min_by(F.when(real, v), F.when(real, at)), first)
+    return first.alias(name)
+
+
+def united(single: str, several: str | None = None) -> Column:
+    """Sorted set of the sources of all rows: the one in ``single`` and those listed in ``several``; nulls are no source."""
+    own = F.flatten(F.collect_set(F.array_compact(F.array(single))))
+    listed = F.flatten(F.collect_set(F.array_compact(F.coalesce(several, F.array().cast("array<string>"))))) if several else F.array().cast("array<string>")
+    return F.array_sort(F.array_distinct(F.concat(own, listed)))
+
+
+def merged_fields(df: DataFrame, fields: list[str]) -> list[Column]:
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return [filled(f, "seq", kinds[f]) for f in fields]
+
+
+def merge_by_key(df: DataFrame, key: Column, seq: str, fields: list[str], source: str = "source", listed: str | None = None) -> DataFrame:
+    """One row a key: first non-empty value of each field, united sources, number of rows."""
     rows = df.withColumn("key", key).withColumn("seq", F.col(seq)).where("key <> ''")
-    return rows.groupBy("key").agg(F.min("seq").alias("first_seq"), F.count("*").alias("rows"), F.array_sort(F.collect_set(sources)).alias("merged_sources"), *[filled(f) for f in fields])
+    return rows.groupBy("key").agg(F.min("seq").alias("first_seq"), F.count("*").alias("rows"), united(source, listed).alias("merged_sources"), *merged_fields(df, fields))
 
 
-def merge_two_keys(df: DataFrame, seq: str, fields: list[str], source: str = "source") -> DataFrame:
+def merge_two_keys(df: DataFrame, seq: str, fields: list[str], source: str = "source", listed: str | None = None) -> DataFrame:
     """Merge by publication key, else by title, in order of ``seq``.
 
     A row joins the group of the first row with its publication key; failing that, that of the first
@@ -84,4 +105,4 @@ def merge_two_keys(df: DataFrame, seq: str, fields: list[str], source: str = "so
     groups = whole.groupBy("component").applyInPandas(fold, "pkey string, tkey string, state_group long, owner_group long, owner_since long")
     rows = keyed.join(groups, ["pkey", "tkey"])
     rows = rows.withColumn("group_seq", F.when((F.col("pkey") != "") & (F.col("seq") > F.col("owner_since")), F.col("owner_group")).otherwise(F.col("state_group")))
-    return rows.groupBy("group_seq").agg(F.count("*").alias("rows"), F.array_sort(F.collect_set(source)).alias("merged_sources"), *[filled(f) for f in fields])
+    return rows.groupBy("group_seq").agg(F.count("*").alias("rows"), united(source, listed).alias("merged_sources"), *merged_fields(df, fields))

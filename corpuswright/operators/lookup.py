@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpuswright.functions.text import wide_as_letter
+
 
 def spaced(text: Column) -> Column:
     """Lower-case words between single blanks, a blank at either end; '  ' for null."""
@@ -56,11 +58,9 @@ def first_rule(text: Column, rules, field: int = 1) -> Column:
 
 
 def weighted_rules(text: Column, rules) -> Column:
-    """Sum of the weights of the regular expressions that match the lower-case text; 0 for null."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return reduce(lambda a, b: a + b, [F.when(low.rlike(p), F.lit(w)).otherwise(F.lit(0.0)) for p, w in rules], F.lit(0.0))
-
+    """Sum of the weights of the regular expressions that match the lower-case text; 0 for null.
 
-def negations_removed(text: Column, anchors: list[str]) -> Column:
-    """Text without 'no / without / lacks' in front of an anchor, so that it does not count as one."""
-    return F.regexp_replace(F.lower(text), rf"\b(?:no|without|lacks|lacking)\s+(?:{'|'.join(anchors)})", " ")
+    The text is prepared once and bound to the rules by a lambda, which also keeps a long list of rules out of one
+    generated method."""
+    total = lambda low: reduce(lambda a, b: a + b, [F.when(low.rlike(p), F.lit(w)).otherwise(F.lit(0.0)) for p, w in rules], F.lit(0.0))
+    return F.get(F.transform(F.array(wide_as_letter(text)), total), F.lit(0))

@@ -14,13 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuswright.functions.text import terms, word_set
-from corpuswright.lexicon import GENERIC_TOPIC_WORDS, OBJECTIVE_CUES, OTHER_WEIGHT, SECTION_WEIGHT, STOP_WORDS, TECHNICAL_RULES, anchors
-from corpuswright.operators.lookup import hits, weighted_rules
+from corpuswright.lexicon import OBJECTIVE_CUES, OTHER_WEIGHT, SECTION_WEIGHT, STOP_WORDS, TECHNICAL_RULES
+from corpuswright.operators.lookup import weighted_rules
 from corpuswright.operators.ranking import distributed_rank
+from corpuswright.operators.rules import has, number_of
 from corpuswright.operators.skew import skew_join
 from corpuswright.session import materialise
+from corpuswright.topics import DEEPFAKE, GENERAL, MULTI_AGENT, SEGMENTATION, Topic
 
-TERM = re.compile(r"\w+")
+TERM = re.compile(r"[^\W_][\w-]*\w")
 
 
 def clip(x: Column, lo: float, hi: float) -> Column:
@@ -40,38 +42,49 @@ def composite(rank: Column, technical: Column, section: Column, weight: float =
     return (rank + F.lit(weight) * technical) * w.otherwise(F.lit(OTHER_WEIGHT))
 
 
-def paper_score(title: Column, abstract: Column, semantic: Column, topic: str, core: list[str] | None = None, mechanism: list[str] | None = None) -> Column:
-    """Five factors: core .35, mechanism .25, objective .20, semantic .10, keyword .10; clipped to .72-.98."""
-    core, mechanism = core or anchors("core"), mechanism or anchors("mechanism")
-    both = F.concat_ws(" ", title, abstract)
-    a = F.when(hits(title, core, "word") > 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), hits(both, core, "word") / F.lit(float(max(1, min(3, len(core)))))))
-    b = F.least(F.lit(1.0), hits(both, mechanism, "word") / F.lit(float(max(1, min(2, len(mechanism))))))
-    c = F.when(hits(both, list(OBJECTIVE_CUES)) > 0, F.lit(1.0)).otherwise(F.lit(0.7))
-    keys = [w for w in topic.lower().split() if len(w) > 2 and w not in GENERIC_TOPIC_WORDS]
-    e = hits(both, keys, "word") / F.lit(float(max(1, len(keys))))
+def paper_score(t: Topic, semantic: Column, gate: Column | None = None) -> Column:
+    """Five factors of a paper for a topic: core .35, mechanism .25, aim .20, semantic .10, words of the topic .10;
+    between .72 and .98, 0 where the gate fails. For columns added by :func:`gates.paper_fields`."""
+    core, mechanism = t["core"], t["mechanism"]
+    a = F.when(has("title_", core).column(), F.lit(1.0)).otherwise(F.least(F.lit(1.0), number_of("text_", core) / F.lit(float(max(1, min(3, len(core)))))))
+    b = F.least(F.lit(1.0), number_of("text_", mechanism) / F.lit(float(max(1, min(2, len(mechanism))))))
+    c = F.when(has("text_", OBJECTIVE_CUES).column(), F.lit(1.0)).otherwise(F.lit(0.7))
+    keys = key_words(t)
+    e = number_of("text_", keys) / F.lit(float(max(1, len(keys))))
     total = F.lit(0.35) * a + F.lit(0.25) * b + F.lit(0.20) * c + F.lit(0.10) * semantic + F.lit(0.10) * e
-    return clip(F.lit(0.65) + F.lit(0.33) * total, 0.72, 0.98)
+    score = clip(F.lit(0.65) + F.lit(0.33) * total, 0.72, 0.98)
+    return score if gate is None else F.when(gate, score).otherwise(F.lit(0.0))
+
+
+def key_words(t: Topic) -> list[str]:
+    """Words of the topic string that count as key words."""
+    return [w for w in re.sub(r"[^a-z0-9\s]", "", t.text.lower()).split() if len(w) > 2 and w not in t["generic"]]
 
 
 def rank_label(score: Column) -> Column:
     return F.when(score >= 0.85, "High").when(score >= 0.75, "Medium").otherwise("Low")
 
 
-def patent_score(title: Column, abstract: Column, claims: Column, level: Column, core: list[str], weights=(0.30, 0.40, 0.20, 0.10)) -> Column:
-    """Weighted field hits mapped to 85-98 (DIRECT) or 70-84 (STRONG), else 0. Weights are renormalised.
-    Claims count with the title's anchors."""
-    total = sum(weights)
-    w = [x / total for x in weights]
-    t = F.least(F.lit(1.0), hits(title, core, "word") * 2 / F.lit(2.5))
-    a = F.least(F.lit(1.0), hits(abstract, core, "word") * 2 / F.lit(3.5))
-    c = F.when(F.coalesce(F.trim(claims), F.lit("")) != "", F.least(F.lit(1.0), hits(claims, core, "word") / F.lit(2.5))).otherwise(F.lit(0.9) * a)
-    k = F.when(hits(F.concat_ws(" ", title, abstract, claims), core, "word") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    s = F.lit(w[0]) * t + F.lit(w[1]) * a + F.lit(w[2]) * c + F.lit(w[3]) * k
-    return (
-        F.when(level == "DIRECT", F.floor(clip(F.lit(85.0) + F.lit(13.0) * s, 85.0, 98.0) + F.lit(0.5)).cast("int"))
-        .when(level == "STRONG", F.floor(clip(F.lit(70.0) + F.lit(14.0) * s, 70.0, 84.0) + F.lit(0.5)).cast("int"))
-        .otherwise(0)
-    )
+# Groups of anchors that count double in a title or abstract, by kind of topic.
+DOUBLE_GROUPS = {MULTI_AGENT: ("agent", "several"), DEEPFAKE: ("synthetic", "audio"), SEGMENTATION: ("segmentation", "medical"), GENERAL: ()}
+
+
+def patent_score(t: Topic, gate: Column, weights: tuple[float, float, float, float] = (0.30, 0.40, 0.20, 0.10)) -> Column:
+    """Score of a patent for a topic: title, abstract, claims (or description) and coverage, weighted; 85 to 98 for a
+    direct, 70 to 84 for a strong match, else 0. For columns added by :func:`gates.patent_fields`; weights are renormalised.
+
+    Anchors of the kind count 2 each, those of a general topic 1; claims count general anchors only.
+    """
+    total = sum(weights) or 1.0
+    double = [a for g in DOUBLE_GROUPS[t.kind] for a in t[g]]
+    points = lambda f: number_of(f, t["domain"]) + 2 * number_of(f, double)
+    a = F.least(F.lit(1.0), points("abstract_") / F.lit(3.5))
+    s = F.lit(weights[0]) * F.least(F.lit(1.0), points("title_") / F.lit(2.5)) + F.lit(weights[1]) * a
+    s = s + F.lit(weights[2]) * F.when(F.col("claims_") != "", F.least(F.lit(1.0), number_of("claims_", t["domain"]) / F.lit(2.5))).otherwise(a * F.lit(0.9))
+    s = (s + F.lit(weights[3]) * gate["coverage"]) / F.lit(total)
+    direct = F.rint(clip(F.lit(85.0) + s * F.lit(13.0), 85.0, 98.0)).cast("int")
+    strong = F.rint(clip(F.lit(70.0) + s * F.lit(14.0), 70.0, 84.0)).cast("int")
+    return F.when(gate["level"] == "DIRECT_MATCH", direct).when(gate["level"] == "STRONG_RELATED", strong).otherwise(0)
 
 
 def cosine(a: Column, b: Column) -> Column:

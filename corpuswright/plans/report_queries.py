@@ -85,4 +85,4 @@ def q53_domain(spark: SparkSession, d: str) -> DataFrame:
   CASE WHEN regexp_matches(left(publication_date, 4), '^[0-9]{4}$') THEN CAST(left(publication_date, 4) AS INTEGER) END AS year FROM patents""")
 def q54_normalised(spark: SparkSession, d: str) -> DataFrame:
     """N2, N4, N15, N16, date functions of 2.13."""
-    return table(spark, d, "patents").select("record_id", F.md5(tx.squeeze(tx.ascii_safe(F.coalesce("abstract", F.lit(""))))).alias("ascii"), tx.slug(F.col("title")).alias("slug"), tx.near_dates_year(F.col("publication_date")).alias("year"))
+    return table(spark, d, "patents").select("record_id", F.md5(tx.squeeze(tx.ascii_safe(F.coalesce("abstract", F.lit(""))))).alias("ascii"), tx.slug(F.col("title")).alias("slug"), tx.year_of(F.col("publication_date")).alias("year"))

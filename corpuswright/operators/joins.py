@@ -21,6 +21,11 @@ def last_wins(probe: DataFrame, build: DataFrame, key: str, seq: str, fields: li
     return probe.join(last, key, "left")
 
 
+def kept_of(probe: DataFrame, build: DataFrame, key: str, drop: str) -> DataFrame:
+    """``probe`` without the rows whose build row says ``drop`` (boolean); rows without a build row stay."""
+    return probe.join(build.where(F.col(drop)).select(key).distinct(), key, "left_anti")
+
+
 def positional(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
     """Row i of the left with row i of the right, null where the right is shorter. Both positions come from
     distributed ranks."""

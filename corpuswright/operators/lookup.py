@@ -6,6 +6,7 @@ nested loop over rows.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -57,10 +58,52 @@ def first_rule(text: Column, rules, field: int = 1) -> Column:
     return out
 
 
+def alternatives(pattern: str) -> list[str]:
+    """Alternatives of the group that a pattern opens with behind a word boundary; [] for other patterns."""
+    if not pattern.startswith(r"\b("):
+        return []
+    depth, out, now = 0, [], ""
+    for c in pattern[2:]:
+        depth += (c == "(") - (c == ")")
+        if depth == 0:
+            return [*out, now]
+        if c == "|" and depth == 1:
+            out, now = [*out, now], ""
+        elif not (c == "(" and depth == 1):
+            now += c
+    return []
+
+
 def weighted_rules(text: Column, rules) -> Column:
     """Sum of the weights of the regular expressions that match the lower-case text; 0 for null.
 
-    The text is prepared once and bound to the rules by a lambda, which also keeps a long list of rules out of one
-    generated method."""
-    total = lambda low: reduce(lambda a, b: a + b, [F.when(low.rlike(p), F.lit(w)).otherwise(F.lit(0.0)) for p, w in rules], F.lit(0.0))
-    return F.get(F.transform(F.array(wide_as_letter(text)), total), F.lit(0))
+    The text is prepared once. Rules that list single words are answered from the set of its words; of the others only
+    those are run of which some alternative's first letters occur. Both are exact.
+    """
+    plain: dict[str, list[int]] = {}
+    rest = []
+    for i, (pattern, weight) in enumerate(rules):
+        parts = alternatives(pattern)
+        if parts and pattern == rf"\b({'|'.join(parts)})\b" and all(re.fullmatch("[a-z0-9]+", p) for p in parts):
+            for p in parts:
+                plain.setdefault(p, []).append(i)
+        else:
+            leads = [m[0] for m in (re.match("[a-z]{2,}", p) for p in parts) if m]
+            # an optional last letter is not part of what must occur
+            leads = [x[:-1] if p[len(x) : len(x) + 1] in ("?", "*", "{") else x for x, p in zip(leads, parts)] if len(leads) == len(parts) else []
+            rest.append((pattern, weight, [x for x in leads if x] if all(leads) else []))
+    low = wide_as_letter(text)
+    # one lambda in SQL text: the plan is parsed at once instead of built call by call
+    total = "0.0d"
+    if plain:
+        words = "array(" + ", ".join(f"'{w}'" for w in plain) + ")"
+        by_word = "map(" + ", ".join(f"'{w}', array({', '.join(map(str, ids))})" for w, ids in plain.items()) + ")"
+        weights = "array(" + ", ".join(f"{float(w)}d" for _, w in rules) + ")"
+        found = f"array_distinct(flatten(transform(array_intersect({words}, split(t, '[^a-z0-9_]+')), w -> {by_word}[w])))"
+        total = f"aggregate({found}, 0.0d, (s, i) -> s + get({weights}, i))"
+    for pattern, weight, leads in rest:
+        hit = f"t rlike r'{pattern}'"
+        if leads:
+            hit = "(" + " or ".join(f"contains(t, '{x}')" for x in leads) + f") and {hit}"
+        total += f" + case when {hit} then {float(weight)}d else 0.0d end"
+    return F.get(F.call_function("transform", F.array(low), F.expr(f"t -> {total}")), F.lit(0))

@@ -39,6 +39,24 @@ def grid(df: DataFrame, **widths: int) -> DataFrame:
     return df.select(*[cut(F.col(c).cast("string"), w).alias(c) for c, w in widths.items()])
 
 
+# What a detail says where a paper does not.
+NOT_THERE = ("", "Not extracted")
+
+
+def details(df: DataFrame, key: str, fields: dict[str, str], missing: str = "Not available in abstract.") -> DataFrame:
+    """(key, place, label, content): one row for each labelled field of a row, in order; ``missing`` for what is not there."""
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("place"), F.lit(label).alias("label"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("content")) for i, (c, label) in enumerate(fields.items())])
+    flat = df.select(key, F.inline(rows))
+    return flat.withColumn("content", F.when(F.col("content").isin(*NOT_THERE), missing).otherwise(F.col("content")))
+
+
+def compression_table(metrics: DataFrame, key: str) -> DataFrame:
+    """(key, tokens, kept_tokens, reduction, coverage, grade): rows of papers with tokens, percentages rounded half to even to one place."""
+    reduction = F.bround(F.col("reduction_ratio") * 100.0, 1)
+    rows = metrics.where("tokens > 0").select(key, "tokens", "kept_tokens", reduction.alias("reduction"), F.bround(F.col("section_coverage") * 100.0, 0).alias("coverage"))
+    return rows.withColumn("grade", F.when(F.col("reduction") >= 60, "high").when(F.col("reduction") >= 30, "medium").otherwise("low"))
+
+
 def series(df: DataFrame, label: str, value: Column, n: int, seq: str) -> DataFrame:
     """(place, label, value): the n largest values as whole numbers, for a chart."""
     rows = df.select(F.lit(0).alias("all"), cut(F.col(label), 30).alias("label"), F.floor(value).cast("int").alias("value"), F.col(seq).alias("seq"))

@@ -239,7 +239,7 @@ def archive_patents(payloads: DataFrame, source: str = "EuropePMC", enough: int
         "_req", "_i", key.alias("patent_id"), key.alias("publication_number"), strip_markup(F.col("x.title")).alias("title"), strip_markup(F.coalesce("x.abstractText", F.lit(""))).alias("abstract"), who.alias("assignee"),
         F.when(who != "", F.array(who)).alias("inventors"), F.col("x.pubYear").alias("publication_date"), F.when(F.substring(key, 1, 2).rlike("^[A-Z]{2}$"), F.substring(key, 1, 2)).otherwise("WO").alias("jurisdiction"),
     )
-    return _patent(rows.where("title <> ''"), source, ["_req", "_i"], enough)
+    return _patent(rows, source, ["_req", "_i"], enough).where("title <> ''")
 
 
 # Words that no search expression of S11 is built from.

@@ -10,10 +10,12 @@ How it works
    weight; each arrival falls on one register, which keeps the earliest. A shingle stops as soon as
    its next arrival is later than the latest register. Two signatures agree in a register with the
    probability Jaccard similarity of the weighted sets, which for equal weights is the plain one.
-3. ``bands`` of ``width`` registers give bucket keys. Classes that meet in a bucket and whose set
-   sizes allow the threshold are candidates; the few buckets with very many members (at most
-   ``hot_keys`` can exist) are split into blocks that meet each other in separate tasks.
-4. Candidates are verified exactly on their shingle sets.
+3. ``bands`` of ``width`` registers give bucket keys. They are shuffled once, sorted by bucket, and read as a
+   stream: buckets of one member vanish, the members of a bucket whose set sizes allow the threshold are
+   candidates. Buckets of more than ``block`` members leave the stream as rows and are split into blocks
+   that meet each other in separate tasks.
+4. Candidates are verified exactly on their shingle sets: by Jaccard similarity, or with ``weights="count"``, where a
+   shingle weighs as often as it occurs, by the probability Jaccard similarity that the signature estimates.
 
 :func:`near_duplicate_pairs` expands classes into pairs of records, :func:`near_duplicate_groups`
 returns one row a record with its group and its number of linked classes instead.
@@ -36,18 +38,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuswright.llm.wordseq import U64, mix64, words_of
+from corpuswright.operators.skew import skew_join
 from corpuswright.session import materialise
 
 
 class Shingler:
-    """Shingle sets as sorted arrays of 64-bit hashes; word hashes are kept across records."""
+    """Shingle sets as sorted arrays of 64-bit hashes with their counts; word hashes are kept across records."""
 
     def __init__(self, n: int):
         self.n, self.known = n, {}
 
-    def __call__(self, words: list[str]) -> np.ndarray:
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(words) < self.n:
-            return np.zeros(0, dtype=U64)
+            return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
         known = self.known
         if len(known) > 1_000_000:
             known.clear()
@@ -61,7 +64,7 @@ class Shingler:
         out = a[: len(a) - self.n + 1].copy()
         for k in range(1, self.n):
             out = mix64(out) + a[k : len(a) - self.n + 1 + k] * U64(2 * k + 1)
-        return np.unique(mix64(out))
+        return np.unique(mix64(out), return_counts=True)
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -92,8 +95,22 @@ def prob_min_hash(owner: np.ndarray, keys: np.ndarray, weights: np.ndarray, n: i
     return q
 
 
-def shingle_sets(records: DataFrame, n: int, least_words: int) -> DataFrame:
-    """(record_id, key, shingles) of each record that takes part; key identifies the set."""
+def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    """Sum over common elements i of 1 / sum over j of max(x_j / x_i, y_j / y_i); keys sorted and distinct."""
+    both, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if not len(both):
+        return 0.0
+    every = np.union1d(a, b)
+    xa, yb = np.zeros(len(every)), np.zeros(len(every))
+    xa[np.searchsorted(every, a)], yb[np.searchsorted(every, b)] = wa, wb
+    total = 0.0
+    for xi, yi in zip(wa[ia], wb[ib]):
+        total += 1.0 / np.maximum(xa / xi, yb / yi).sum()
+    return total
+
+
+def shingle_sets(records: DataFrame, n: int, least_words: int, weights: str | None = None) -> DataFrame:
+    """(record_id, key, shingles, counts) of each record that takes part; key identifies the set (with counts, if they weigh)."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = Shingler(n)
@@ -101,11 +118,14 @@ def shingle_sets(records: DataFrame, n: int, least_words: int) -> DataFrame:
             out = []
             for i, t, a in zip(b["record_id"], b["title"], b["abstract"]):
                 body = words_of(a)
-                if len(body) >= least_words and len(x := cut(words_of(t) + body)):
-                    out.append((i, xxhash.xxh3_128_digest(x.tobytes()), x.view(np.int64)))
-            yield pd.DataFrame(out, columns=["record_id", "key", "shingles"])
+                if len(body) >= least_words:
+                    x, c = cut(words_of(t) + body)
+                    if len(x):
+                        c = c.astype(np.int32) if weights else np.zeros(0, dtype=np.int32)
+                        out.append((i, xxhash.xxh3_128_digest(x.tobytes() + c.tobytes()), x.view(np.int64), c))
+            yield pd.DataFrame(out, columns=["record_id", "key", "shingles", "counts"])
 
-    return records.select("record_id", "title", "abstract").where("record_id is not null and abstract is not null").mapInPandas(scan, "record_id long, key binary, shingles array<long>")
+    return records.select("record_id", "title", "abstract").where("record_id is not null and abstract is not null").mapInPandas(scan, "record_id long, key binary, shingles array<long>, counts array<int>")
 
 
 def bucket_keys(classes: DataFrame, bands: int, width: int) -> DataFrame:
@@ -117,45 +137,122 @@ def bucket_keys(classes: DataFrame, bands: int, width: int) -> DataFrame:
                 part = b.iloc[lo : lo + 1000]
                 lens = part["shingles"].map(len).to_numpy()
                 keys = np.concatenate(part["shingles"].to_list()).astype(np.int64).view(U64)
-                q = prob_min_hash(np.repeat(np.arange(len(part)), lens), keys, np.ones(len(keys)), len(part), bands * width)
+                counts = np.concatenate(part["counts"].to_list()).astype(float)
+                weights = counts if len(counts) == len(keys) else np.ones(len(keys))
+                q = prob_min_hash(np.repeat(np.arange(len(part)), lens), keys, weights, len(part), bands * width)
                 v = q.view(U64).reshape(len(part), bands, width)
                 h = np.broadcast_to(np.arange(bands, dtype=U64), (len(part), bands)).copy()
                 for k in range(width):
                     h = mix64(h * U64(0x9E3779B97F4A7C15) + v[:, :, k])
                 yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), bands), "size": np.repeat(lens.astype(np.int32), bands), "bucket": h.reshape(-1).view(np.int64)})
 
-    return classes.select("id", "shingles").mapInPandas(scan, "id long, size int, bucket long")
+    return classes.select("id", "shingles", "counts").mapInPandas(scan, "id long, size int, bucket long")
+
 
+def run_pairs(ids: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the members of one bucket whose sizes allow the threshold, smaller id first."""
+    a, b = np.triu_indices(len(ids), 1)
+    fit = (sizes[a] >= threshold * sizes[b]) & (sizes[b] >= threshold * sizes[a]) & (ids[a] != ids[b])
+    a, b = ids[a[fit]], ids[b[fit]]
+    return np.minimum(a, b), np.maximum(a, b)
 
-def candidates(keys: DataFrame, threshold: float, hot_keys: int = 1000, block: int = 1000) -> DataFrame:
+
+def candidates(keys: DataFrame, threshold: float, block: int = 1000) -> DataFrame:
     """(a, b), a < b: classes that share a bucket and whose sizes allow the threshold."""
-    keys = materialise(keys, "buckets")
-    total = keys.count()
-    counts = keys.groupBy("bucket").count().where("count > 1")
-    limit = max(2 * block, total / hot_keys)
-    cold = keys.join(counts.where(F.col("count") <= limit).select("bucket"), "bucket").withColumn("part", F.lit(0))
-    hot = keys.join(F.broadcast(counts.where(F.col("count") > limit)), "bucket").withColumn("parts", F.ceil(F.col("count") / block).cast("int"))
+    ordered = keys.repartition("bucket").sortWithinPartitions("bucket")
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pairs of buckets up to ``block`` members (bucket null), the rows of larger ones (b null)."""
+        left, crowded = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)), None
+        names = ["a", "b", "bucket", "size"]
+
+        def rows(key: np.ndarray, i: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"a": i, "b": pd.array([None] * len(i), dtype="Int64"), "bucket": pd.array(key, dtype="Int64"), "size": n})[names]
+
+        def close(key: np.ndarray, i: np.ndarray, n: np.ndarray, last: bool) -> Iterator[pd.DataFrame]:
+            nonlocal left, crowded
+            if not len(key):
+                return
+            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            ends = np.r_[cuts[1:], len(key)]
+            keep = len(cuts) if last else len(cuts) - 1  # the last bucket may go on in the next batch
+            found_a, found_b = [], []
+            lens = ends - cuts
+            # buckets of two are the most common by far: all at once
+            two = cuts[:keep][lens[:keep] == 2]
+            if len(two):
+                fit = (n[two] >= threshold * n[two + 1]) & (n[two + 1] >= threshold * n[two]) & (i[two] != i[two + 1])
+                two = two[fit]
+                found_a.append(np.minimum(i[two], i[two + 1]))
+                found_b.append(np.maximum(i[two], i[two + 1]))
+            for c, e in zip(cuts[:keep][lens[:keep] > 2], ends[:keep][lens[:keep] > 2]):
+                if e - c > block or key[c] == crowded:
+                    yield rows(key[c:e], i[c:e], n[c:e])
+                else:
+                    a, b = run_pairs(i[c:e], n[c:e], threshold)
+                    found_a.append(a)
+                    found_b.append(b)
+            if found_a and sum(map(len, found_a)):
+                a, b = np.concatenate(found_a), np.concatenate(found_b)
+                pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+                yield pd.DataFrame({"a": pairs[:, 0], "b": pd.array(pairs[:, 1], dtype="Int64"), "bucket": pd.array([None] * len(pairs), dtype="Int64"), "size": np.zeros(len(pairs), np.int32)})[names]
+            if not last:
+                c = cuts[-1]
+                if len(key) - c > block:  # never more than a block and a batch in memory
+                    crowded = key[c]
+                    yield rows(key[c:], i[c:], n[c:])
+                    left = (key[:0], i[:0], n[:0])
+                else:
+                    left = (key[c:], i[c:], n[c:])
+
+        for b in batches:
+            key, i, n = b["bucket"].to_numpy(), b["id"].to_numpy(), b["size"].to_numpy()
+            if crowded is not None and len(key):
+                go = key == crowded
+                if go.any():
+                    yield rows(key[go], i[go], n[go])
+                    key, i, n = key[~go], i[~go], n[~go]
+                    if not len(key):
+                        continue
+                crowded = None
+            yield from close(np.r_[left[0], key], np.r_[left[1], i], np.r_[left[2], n], False)
+        yield from close(*left, True)
+
+    met = materialise(ordered.mapInPandas(stream, "a long, b long, bucket long, size int"), "met")
+    hot = met.where("b is null").select("bucket", F.col("a").alias("id"), "size")
+    counts = hot.groupBy("bucket").agg(F.count("*").alias("count"), F.count("*").alias("weight"))
+    placed = skew_join(hot, counts, ["bucket"], "weight").withColumn("parts", F.ceil(F.col("count") / block).cast("int"))
     sides = []
     for name in ("a", "b"):
-        part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int") if name == "a" else F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        both = cold.select("bucket", "part", "id", "size").unionByName(hot.select("bucket", part.alias("part"), "id", "size"))
-        sides.append(both.select("bucket", "part", F.col("id").alias(name), F.col("size").alias(f"size_{name}")))
-    met = sides[0].join(sides[1], ["bucket", "part"]).where(F.col("a") < F.col("b"))
+        part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        both = placed.withColumn("own", part).withColumn("other", other)
+        cell = (F.col("own"), F.col("other")) if name == "a" else (F.col("other"), F.col("own"))
+        sides.append(both.select("bucket", cell[0].alias("x"), cell[1].alias("y"), F.col("id").alias(name), F.col("size").alias(f"size_{name}")))
     fit = (F.col("size_a") >= threshold * F.col("size_b")) & (F.col("size_b") >= threshold * F.col("size_a"))
-    return met.where(fit).select("a", "b").distinct()
+    crossed = sides[0].join(sides[1], ["bucket", "x", "y"]).where((F.col("a") < F.col("b")) & fit).select("a", "b")
+    return met.where("b is not null").select("a", "b").unionByName(crossed).distinct()
 
 
-def near_duplicate_classes(records: DataFrame, n: int = 5, threshold: float = 0.8, least_words: int = 20, bands: int = 64, width: int = 4) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_classes(records: DataFrame, n: int = 5, threshold: float = 0.8, least_words: int = 20, bands: int = 64, width: int = 4, weights: str | None = None, block: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(members, links): (id, record_id) of each class of equal sets, and verified (a, b) between classes."""
-    sets = materialise(shingle_sets(records, n, least_words), "shingles")
+    sets = materialise(shingle_sets(records, n, least_words, weights), "shingles")
     classes = sets.groupBy("key").agg(F.min("record_id").alias("id"))
     members = materialise(sets.select("record_id", "key").join(classes, "key").select("id", "record_id").distinct(), "members")
-    chosen = sets.join(members.select("id").distinct(), F.col("id") == F.col("record_id")).select("id", "shingles").dropDuplicates(["id"])
-    chosen = materialise(chosen, "classes")
-    found = candidates(bucket_keys(chosen, bands, width), threshold)
-    left, right = (chosen.select(F.col("id").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
+    # the class's own record holds its set: the sets are stored once
+    own = members.where("id = record_id").select("id")
+    chosen = sets.join(own, F.col("id") == F.col("record_id")).select("id", "shingles", "counts")
+    # set sizes need not be comparable where counts weigh
+    found = materialise(candidates(bucket_keys(chosen.dropDuplicates(["id"]), bands, width), 0.0 if weights else threshold, block), "found")
+    ends = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
+    needed = materialise(sets.join(ends, F.col("id") == F.col("record_id")).select("id", "shingles", "counts").dropDuplicates(["id"]), "needed")
+    left, right = (needed.select(F.col("id").alias(k), F.col("shingles").alias(f"set_{k}"), F.col("counts").alias(f"n_{k}")) for k in "ab")
+    met = found.join(left, "a").join(right, "b")
+    if weights:
+        similar = F.pandas_udf(lambda a, x, b, y: pd.Series([probability_jaccard(p, q.astype(float), r, t.astype(float)) for p, q, r, t in zip(a, x, b, y)], dtype=float), "double")
+        return members, met.where(similar("set_a", "n_a", "set_b", "n_b") >= threshold - 1e-9).select("a", "b")
     both = F.size(F.array_intersect("set_a", "set_b"))
-    scored = found.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("any"))
+    scored = met.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("any"))
     return members, scored.where(F.col("both") >= threshold * F.col("any") - 1e-9).select("a", "b")
 
 

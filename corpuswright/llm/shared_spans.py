@@ -11,9 +11,9 @@ keep all). The choice depends on the window's characters alone, so equal windows
 anchors at equal offsets, and about one gram in (length - gram) / 2 becomes an anchor.
 
 1. First pass over the texts: each partition counts its anchors' hashes in a Count-min sketch
-   of two rows that saturate at two; the sketches are merged block by block into one of fixed
-   width (a parameter's bound; wider data only makes it let more through). An estimate is never
-   below the true count, so no repeated window is lost.
+   of two rows that saturate at two, kept sparse; the sketches are merged block by block into one of bounded
+   width (about four cells an anchor up to ``max_bits``; wider data make it let more through, which costs
+   shuffle and changes no row). An estimate is never below the true count, so no repeated window is lost.
 2. Second pass: only anchors estimated repeated leave the scan, each with the hash of its
    *context*, the stretch that holds every window the anchor can stand for. They are grouped
    exactly, by (anchor, context) and then by anchor, with partial aggregation before the shuffle;
@@ -49,6 +49,7 @@ from corpuswright.session import materialise
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 BLOCK = 1 << 15
+SMALL = 1_000_000  # document numbers that are broadcast to filter texts
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -110,12 +111,12 @@ def anchors(h: Hasher, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Sketch:
-    """Count-min with counters 0, 1, 2+: ``one`` and ``two`` are bit planes of each row."""
+    """Count-min with counters 0, 1, 2+, sparse: the cells of each row seen once and seen more often."""
 
     def __init__(self, bits: int, rows: int = 2):
         self.bits, self.rows = bits, rows
-        self.one = np.zeros((rows, 1 << bits), dtype=bool)
-        self.two = np.zeros((rows, 1 << bits), dtype=bool)
+        self.parts: list[list[np.ndarray]] = [[] for _ in range(rows)]
+        self.size = 0
 
     @staticmethod
     def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -123,18 +124,25 @@ class Sketch:
 
     def add(self, keys: np.ndarray) -> None:
         for r in range(self.rows):
-            c = self.cells(keys, r, self.bits)
-            u, n = np.unique(c, return_counts=True)
-            self.two[r, u] |= self.one[r, u] | (n > 1)
-            self.one[r, u] = True
+            self.parts[r].append(self.cells(keys, r, self.bits))
+        self.size += len(keys)
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
-        """Non-empty blocks, packed and compressed."""
+        """Non-empty blocks, as bit planes of what was seen and what was seen again, compressed; the sketch is empty then."""
         for r in range(self.rows):
-            for b in range(0, 1 << self.bits, BLOCK * 8):
-                one, two = self.one[r, b : b + BLOCK * 8], self.two[r, b : b + BLOCK * 8]
-                if one.any():
-                    yield (r << 40) | b, zlib.compress(np.packbits(one).tobytes() + np.packbits(two).tobytes(), 1)
+            if not self.parts[r]:
+                continue
+            cell, n = np.unique(np.concatenate(self.parts[r]), return_counts=True)
+            width = min(BLOCK * 8, 1 << self.bits)
+            block = cell // width
+            cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(cell) else np.zeros(0, np.int64)
+            for c, e in zip(cuts, np.r_[cuts[1:], len(cell)]):
+                one, two = np.zeros(width, dtype=bool), np.zeros(width, dtype=bool)
+                one[cell[c:e] % width] = True
+                two[cell[c:e][n[c:e] > 1] % width] = True
+                yield (r << 40) | int(block[c]) * width, zlib.compress(np.packbits(one).tobytes() + np.packbits(two).tobytes(), 1)
+            self.parts[r] = []
+        self.size = 0
 
 
 def merged(parts: list[bytes]) -> bytes:
@@ -201,14 +209,14 @@ def runs_of(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row[new], start[new], start[end]
 
 
-def shared_spans(documents: DataFrame, length: int = 320, gram: int | None = None, max_bits: int = 26, small_group: int = 64, hot_keys: int = 1000) -> DataFrame:
+def shared_spans(documents: DataFrame, length: int = 320, gram: int | None = None, max_bits: int = 29, small_group: int = 64, hot_keys: int = 1000) -> DataFrame:
     """(doc_id, start_char, end_char): the maximal stretches shared with another document."""
     spark = documents.sparkSession
     gram = gram or max(1, length * 3 // 4)
     back = length - gram
     texts = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= length))
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = int(min(max_bits, max(18, np.ceil(np.log2(chars / (back / 2 + 1) * 2 + 2)))))
+    bits = int(min(max_bits, max(18, np.ceil(np.log2(chars / (back / 2 + 1) * 4 + 2)))))
     depth = 2
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,6 +229,9 @@ def shared_spans(documents: DataFrame, length: int = 320, gram: int | None = Non
                 # a document counts once for each hash
                 d = np.searchsorted(h.ends, at, side="right")
                 sketch.add(pd.DataFrame({"d": d, "g": g}).drop_duplicates()["g"].to_numpy())
+                if sketch.size > 4_000_000:  # bounds a task's memory; blocks are merged anyway
+                    for key, part in sketch.blocks():
+                        yield pd.DataFrame({"key": [key], "part": [part]})
         for key, part in sketch.blocks():
             yield pd.DataFrame({"key": [key], "part": [part]})
 
@@ -259,7 +270,15 @@ def shared_spans(documents: DataFrame, length: int = 320, gram: int | None = Non
     # settled at once: the whole context is in two documents
     whole = repeated.where("lo < hi").select("h", "ctx", "n", F.lit(0).alias("first"), (F.col("rep.size") - length).alias("last"))
     open_ = repeated.where("contexts > 1").select("h", "ctx", "n", "lo", "hi", "contexts", F.col("rep.doc_id").alias("doc_id"), F.col("rep.pos").alias("pos"), F.col("rep.left").alias("left"), F.col("rep.size").alias("size"))
-    with_text = materialise(open_.join(texts, "doc_id").select("h", "ctx", "n", "lo", "hi", "contexts", "left", F.expr("substring(text, cast(pos - left + 1 as int), size)").alias("t")).where(F.length("t") == F.col("size")), "edges")
+    open_ = materialise(open_, "open")
+    count = open_.count()
+    if count <= 50_000:  # at most some MB: the texts stay where they are
+        from_texts = texts.join(F.broadcast(open_), "doc_id")
+    else:
+        docs = open_.select("doc_id").distinct()
+        few = docs.limit(SMALL + 1).count() <= SMALL
+        from_texts = (texts.join(F.broadcast(docs), "doc_id", "left_semi") if few else texts).join(open_, "doc_id")
+    with_text = materialise(from_texts.select("h", "ctx", "n", "lo", "hi", "contexts", "left", F.expr("substring(text, cast(pos - left + 1 as int), size)").alias("t")).where(F.length("t") == F.col("size")), "edges")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Windows of the contexts of one anchor against each other; a row holds a whole anchor."""

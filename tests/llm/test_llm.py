@@ -141,7 +141,7 @@ def test_near_duplicates_against_brute_force(spark):
 
 def test_hot_bucket_is_split_and_loses_nothing(spark):
     keys = spark.createDataFrame([(i, 10, 7) for i in range(60)], "id long, size int, bucket long")
-    got = rows(near_duplicates.candidates(keys, 0.5, hot_keys=1000, block=8))
+    got = rows(near_duplicates.candidates(keys, 0.5, block=8))
     assert len(got) == 60 * 59 // 2
 
 
@@ -152,6 +152,34 @@ def test_groups(spark):
     assert rows(near_duplicates.near_duplicate_groups(df)) == [(1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 4, 0)]
 
 
+def test_weighted_near_duplicates(spark):
+    """Counts as weights: pairs by probability Jaccard, against brute force."""
+    from collections import Counter
+
+    rnd = random.Random(8)
+    texts = {}
+    for i in range(60):
+        words = [f"w{rnd.randrange(6)}" for _ in range(40)] if i % 3 == 0 else texts[i - 1].split()
+        if i % 3:
+            words = words[:]
+            words[rnd.randrange(40)] = f"x{i}"
+        texts[i] = " ".join(words)
+    df = spark.createDataFrame([(i, None, t) for i, t in texts.items()], "record_id long, title string, abstract string")
+    got = rows(near_duplicates.near_duplicate_pairs(df, n=2, threshold=0.6, weights="count", bands=96, width=3))
+
+    def grams(t):
+        w = words_of(t)
+        return Counter(zip(w, w[1:]))
+
+    def jp(x, y):
+        every = set(x) | set(y)
+        return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in every) for i in set(x) & set(y))
+
+    bags = {i: grams(t) for i, t in texts.items()}
+    want = sorted((a, b) for a in bags for b in bags if a < b and jp(bags[a], bags[b]) >= 0.6)
+    assert len(want) > 10 and got == want
+
+
 # ---- problem 4
 
 

@@ -6,20 +6,19 @@ their order within a stretch of at most ``spread`` times the item's number of wo
 
 How it works
 ------------
-The held-out items are a small, fixed set (checked against ``max_items``); they are compiled
-once into a :class:`Matcher` and broadcast. Documents stream through ``mapInPandas`` in Arrow
-batches: no shuffle, no state, nothing collected.
+The held-out items are compiled into :class:`Matcher` tables, in sets of at most ``per_set`` words, and broadcast.
+Documents stream through ``mapInPandas`` in Arrow batches: no shuffle of texts, no state, nothing collected.
 
-* Patterns are all ``run``-word windows of the items. A block is two neighbouring words; the
+* Patterns of the first rule are all ``run``-word windows of the items. A block is two neighbouring words; the
   shift table gives for each block how far the window may jump, blocks in no pattern allow the
   longest jump, and a zero shift leads to the bucket of patterns with that suffix block, whose
   members are compared word by word. All texts of a batch advance in lock step, one vectorised
   jump a round.
-* The ``share`` rule allows edits between any two words, so no contiguous pattern of two words
-  is guaranteed to survive and a Wu-Manber window longer than one word would lose cases. For it
-  the window is one word: item words are found through the same vocabulary, counted by item
-  over the allowed stretch (an upper bound that loses none), and the pairs left are decided
-  exactly by longest common subsequence.
+* The ``share`` rule allows edits between any two words, so no window of several words survives whole. Its patterns
+  are the neighbouring word pairs of the items with up to two words between them: an item of L words of which n must
+  match within S words keeps at least 2n - L - 1 - floor((S - n) / 3) such pairs within the stretch. Texts that
+  hold so many of an item's pairs so close together are decided exactly by longest common subsequence. Items too short
+  to keep a pair are looked for by their rarest words.
 
 Defined results: null, empty and wordless texts give no row; an item without words or without item_id gives none;
 repeated rows of one doc_id give one row; other columns are ignored.
@@ -28,7 +27,7 @@ repeated rows of one doc_id give one row; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuswright.llm.shared_spans import chunks
 from corpuswright.llm.wordseq import WORD
+from corpuswright.operators.analysis import lcs_length
+
+GAP = 2  # words that may stand between the words of a pair
 
 
 class Matcher:
@@ -52,7 +55,7 @@ class Matcher:
                 self.items.append((int(item), np.array(ids, dtype=np.int64)))
         self.vocab, self.size = vocab, len(vocab) + 1
         self._compile_runs()
-        self._compile_counts()
+        self._compile_pairs()
 
     def _compile_runs(self) -> None:
         """Shift table over two-word blocks and suffix buckets for every run-word window."""
@@ -75,15 +78,31 @@ class Matcher:
         self.owner = np.array(owner, dtype=np.int64)
         self.bucket = {b: np.array(v, dtype=np.int64) for b, v in ends.items()}
 
-    def _compile_counts(self) -> None:
-        """Occurrences of each vocabulary word in each item: what a bag of words can reach at most."""
+    def _compile_pairs(self) -> None:
+        """Postings of every neighbouring pair of words, how many must be found, and the words of short items."""
         self.lengths = np.array([len(i) for _, i in self.items], dtype=np.int64)
         self.needs = np.array([math.ceil(self.share * len(i) - 1e-9) for _, i in self.items], dtype=np.int64)
         self.stretch = np.array([int(self.spread * len(i) + 1e-9) for _, i in self.items], dtype=np.int64)
-        self.bag = np.zeros((self.size, len(self.items)), dtype=np.float32)
+        self.pairs = 2 * self.needs - self.lengths - 1 - np.maximum(self.stretch - self.needs, 0) // (GAP + 1) if len(self.items) else self.needs
+        self.counts = [Counter(i.tolist()) for _, i in self.items]
+        keys, owners = [], []
+        self.by_word: dict[int, list[int]] = defaultdict(list)
         for k, (_, ids) in enumerate(self.items):
-            np.add.at(self.bag[:, k], ids, 1)
-        self.holds = self.bag > 0
+            if self.pairs[k] >= 1:
+                p = np.unique(ids[:-1] * self.size + ids[1:])
+                keys.append(p)
+                owners.append(np.full(len(p), k, dtype=np.int64))
+            else:
+                # all but L - n occurrences must be there, so one of any L - n + 1 is: those of the last words in the vocabulary
+                for w in sorted(ids.tolist(), reverse=True)[: int(self.lengths[k] - self.needs[k] + 1)]:
+                    if k not in self.by_word[w][-1:]:
+                        self.by_word[w].append(k)
+        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        order = np.argsort(key, kind="stable")
+        self.posting = owner[order]
+        self.pair_keys, self.first = np.unique(key[order], return_index=True)
+        self.last = np.r_[self.first[1:], len(key)]
 
     def runs(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
         """(text, item) pairs that share a run-word window; one jump of every text a round."""
@@ -115,28 +134,51 @@ class Matcher:
         return found
 
     def likely(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
-        """(text, item) pairs whose words could reach the share somewhere in the text."""
-        n = len(starts)
-        lens = ends - starts
-        there = np.zeros((n, self.size), dtype=np.float32)
-        there[np.repeat(np.arange(n), lens), np.concatenate([flat[s:e] for s, e in zip(starts, ends)] or [flat[:0]])] = 1
-        there[:, 0] = 0
-        reach = there @ self.bag
-        t, k = np.nonzero(reach >= self.needs)
-        return list(zip(t.tolist(), k.tolist()))
+        """(text, item) pairs that hold enough of the item's pairs within its stretch; a superset of what the rule finds."""
+        out: set[tuple[int, int]] = set()
+        text = np.repeat(np.arange(len(starts)), ends - starts)
+        if len(self.pair_keys) and len(flat) > 1:
+            spots, owners = [], []
+            for gap in range(1, GAP + 2):
+                if len(flat) <= gap:
+                    break
+                a, b = flat[:-gap], flat[gap:]
+                at = np.flatnonzero((a > 0) & (b > 0) & (text[:-gap] == text[gap:]))
+                key = a[at] * self.size + b[at]
+                slot = np.searchsorted(self.pair_keys, key)
+                slot[slot == len(self.pair_keys)] = 0
+                hit = self.pair_keys[slot] == key
+                at, slot = at[hit], slot[hit]
+                many = self.last[slot] - self.first[slot]
+                spots.append(np.repeat(at, many))
+                base = np.repeat(self.first[slot] - (np.cumsum(many) - many), many)
+                owners.append(self.posting[base + np.arange(many.sum())])
+            spot, owner = np.concatenate(spots), np.concatenate(owners)
+            if len(spot):
+                order = np.lexsort((spot, owner, text[spot]))
+                spot, owner = spot[order], owner[order]
+                far = np.arange(len(spot)) + self.pairs[owner] - 1
+                inside = far < len(spot)
+                i, j = np.flatnonzero(inside), far[inside]
+                close = (owner[i] == owner[j]) & (text[spot[i]] == text[spot[j]]) & (spot[j] - spot[i] < self.stretch[owner[i]])
+                out.update(zip(text[spot[i[close]]].tolist(), owner[i[close]].tolist()))
+        if self.by_word:
+            for w, t in zip(flat.tolist(), text.tolist()):
+                for k in self.by_word.get(w, ()) if w else ():
+                    out.add((t, k))
+        return sorted(out)
 
     def shares(self, words: np.ndarray, k: int) -> bool:
         """Exact: a stretch of allowed length that holds the share of the item's words in order."""
-        ids, need, room = self.items[k][1], int(self.needs[k]), int(self.stretch[k])
-        mine = self.holds[words, k]
-        spots = np.flatnonzero(mine)
+        ids, need, room, most = self.items[k][1], int(self.needs[k]), int(self.stretch[k]), self.counts[k]
+        spots = np.flatnonzero(np.isin(words, ids))
         if len(spots) < need:
             return False
         # stretches may start at any item word; only starts with enough item words ahead remain
         ahead = np.searchsorted(spots, spots + room, side="left") - np.arange(len(spots))
         for s in np.flatnonzero(ahead >= need).tolist():
             part = words[spots[s : s + ahead[s]]]
-            if np.minimum(np.bincount(part, minlength=self.size), self.bag[:, k]).sum() < need:
+            if sum(min(n, most[w]) for w, n in Counter(part.tolist()).items()) < need:
                 continue
             if common(ids, part, need):
                 return True
@@ -158,39 +200,40 @@ class Matcher:
 
 
 def common(a: np.ndarray, b: np.ndarray, need: int) -> bool:
-    """Whether the longest common subsequence reaches ``need``; bit-parallel, one row a word of b."""
-    masks: dict[int, int] = {}
-    for i, w in enumerate(a.tolist()):
-        masks[w] = masks.get(w, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    v = full
-    for w in b.tolist():
-        u = v & masks.get(w, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count() >= need
-
-
-def leaks(documents: DataFrame, items: DataFrame, run: int = 12, share: float = 0.75, spread: float = 1.5, max_items: int = 20_000, per_set: int = 500) -> DataFrame:
+    """Whether the longest common subsequence reaches ``need``."""
+    return lcs_length(a.tolist(), b.tolist()) >= need
+
+
+def leaks(documents: DataFrame, items: DataFrame, run: int = 12, share: float = 0.75, spread: float = 1.5, per_set: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id) for each document that holds an item, fully or partly.
 
-    ``items`` is held-out material of bounded size: more than ``max_items`` rows raise an error
-    instead of being broadcast. They are compiled in sets of ``per_set``, which bounds a set's tables to
-    its own vocabulary.
+    ``items`` is held-out material; it reaches the driver in sets of at most ``per_set`` words (or one item), and each
+    set is one broadcast and one scan of the documents. The test items are one set.
     """
-    spark = documents.sparkSession
-    rows = [(r[0], r[1]) for r in items.select("item_id", "text").where("item_id is not null").limit(max_items + 1).collect()]
-    if len(rows) > max_items:
-        raise ValueError(f"more than {max_items} evaluation items; split them into sets")
-    sets = [Matcher(rows[i : i + per_set], run, share, spread) for i in range(0, len(rows), per_set)]
-    shared = spark.sparkContext.broadcast(sets)
+    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull())
+    rows, size, out = [], 0, None
+    for r in items.select("item_id", "text").where("item_id is not null").toLocalIterator():
+        n = len(WORD.findall(r[1])) if r[1] else 0
+        if rows and size + n > per_set:
+            found = _leaks_of(texts, Matcher(rows, run, share, spread))
+            out = found if out is None else out.unionByName(found)
+            rows, size = [], 0
+        rows.append((r[0], r[1]))
+        size += n
+    found = _leaks_of(texts, Matcher(rows, run, share, spread))
+    out = found if out is None else out.unionByName(found)
+    return out.dropDuplicates(["doc_id", "item_id"])
+
+
+def _leaks_of(texts: DataFrame, matcher: Matcher) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(matcher)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets = shared.value
+        m = shared.value
         for b in batches:
             ids, texts = b["doc_id"].to_numpy(), b["text"].tolist()
-            for lo in range(0, len(texts), 1000):
-                hits = [h for m in sets for h in m.match(texts[lo : lo + 1000])]
+            for lo, hi in chunks(texts):
+                hits = m.match(texts[lo:hi])
                 yield pd.DataFrame({"doc_id": ids[[lo + t for t, _ in hits]], "item_id": np.array([k for _, k in hits], dtype=np.int64)})
 
-    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull())
-    return texts.mapInPandas(scan, "doc_id long, item_id long").dropDuplicates(["doc_id", "item_id"])
+    return texts.mapInPandas(scan, "doc_id long, item_id long")

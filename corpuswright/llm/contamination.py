@@ -193,8 +193,14 @@ class Matcher:
         ends = np.cumsum(lens)
         starts = ends - lens
         out = set(self.runs(flat, starts, ends))
+        now, bag = -1, {}
         for t, k in self.likely(flat, starts, ends):
-            if (t, k) not in out and self.shares(flat[starts[t] : ends[t]], k):
+            if (t, k) in out:
+                continue
+            if t != now:
+                now, bag = t, Counter(ids[t])
+            # no more of the item's words can match than the whole text holds
+            if sum(min(n, bag[w]) for w, n in self.counts[k].items() if w in bag) >= self.needs[k] and self.shares(flat[starts[t] : ends[t]], k):
                 out.add((t, k))
         return sorted((t, self.items[k][0]) for t, k in out)
 

@@ -12,7 +12,7 @@ How it works
    words of a shard form a trie, which an edit automaton (insertion, deletion, replacement,
    exchange of neighbours; one edit, two from eight letters on) walks for each word. A shard of
    many words is cut into blocks that meet pairwise in separate tasks.
-   Two words that both stand in many names are two names and no typing error.
+   Two words that both stand in many names are two names and no typing error; many is a share of all names.
 3. In the shard, known short forms of given names link as well, and a name with a short form also
    enters the shards of the names it may be short for.
 4. Names with initials, and organisations named by brand word alone, link to the one entity that
@@ -207,8 +207,12 @@ def distinct_names(papers: DataFrame, patents: DataFrame) -> DataFrame:
     return out.where("name is not null").distinct()
 
 
-def entities(names: DataFrame, short_forms: DataFrame | None = None, block: int = 10_000) -> DataFrame:
-    """(name, entity) of each name that means somebody; ``names``: distinct strings in column name."""
+def entities(names: DataFrame, short_forms: DataFrame | None = None, block: int = 10_000, rare: float = 5e-5) -> DataFrame:
+    """(name, entity) of each name that means somebody; ``names``: distinct strings in column name.
+
+    Two words that differ by an edit are two names if both are common: in more than ``rare`` of all entries (two at
+    least) each and neither ten times as often as the other.
+    """
     forms = {k: set(v) for k, v in SHORT_FORMS.items()}
     if short_forms is not None:  # a small fixed table
         for r in short_forms.select("given_name", "short_form").where("given_name is not null and short_form is not null").limit(SMALL + 1).collect():
@@ -254,7 +258,9 @@ def entities(names: DataFrame, short_forms: DataFrame | None = None, block: int
     rows = rows.withColumn("b", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("b", j).alias("x"), F.greatest("b", j).alias("y")))
     cells = rows.select("shard", "node", "word", "degree", "form", F.explode(meets).alias("cell"))
-    buckets = max(32, count // 20_000)
+    # entries after they went to the blocks they meet in: a crowded shard is spread over as many buckets as it needs
+    buckets = max(32, (sizes.agg(F.sum(F.col("size") * F.ceil(F.col("size") / block))).first()[0] or 0) // 20_000)
+    seldom = max(2.0, rare * count)
     cells = cells.withColumn("bucket", F.pmod(F.xxhash64("shard", "cell"), F.lit(buckets)).cast("int"))
     # the walk costs far more than its bytes say: a stated number of partitions is not coalesced
     cells = cells.repartition(min(buckets, 20_000), "bucket")
@@ -265,18 +271,12 @@ def entities(names: DataFrame, short_forms: DataFrame | None = None, block: int
             words = part["word"].tolist()
             person = part["form"].iat[0] == "person"
             items = list(zip(words, part["node"].tolist(), part["degree"].tolist()))
-            trie = None
-            if len(items) > 24:
-                trie = Trie()
-                for w, node, d in items:
-                    trie.add(w, (node, d))
+            trie = Trie()
             for w, node, d in items:
-                if trie is not None:
-                    near = trie.near(w, allowance(len(w), len(w)))
-                else:
-                    near = ((x, (n2, d2)) for x, n2, d2 in items if n2 > node and edits(w, x, allowance(len(w), len(x))))
-                for x, (other, e) in near:
-                    if other > node and w != x and edits(w, x, allowance(len(w), len(x))) and (min(d, e) <= 2 or max(d, e) >= 10 * min(d, e)):
+                trie.add(w, (node, d))
+            for w, node, d in items:
+                for x, (other, e) in trie.near(w, allowance(len(w), len(w))):
+                    if other > node and w != x and edits(w, x, allowance(len(w), len(x))) and (min(d, e) <= seldom or max(d, e) >= 10 * min(d, e)):
                         out.append((node, other))
             if person:
                 at = defaultdict(list)

@@ -409,3 +409,20 @@ def test_saturating_sketch_never_underestimates():
             parts.setdefault(k, []).append(p)
     planes = shared_spans.repeated_filter([(k, shared_spans.merged(p)) for k, p in parts.items()], 10, 2)
     assert shared_spans.estimated_repeated(keys[2000:3000], planes, 10).all()
+
+
+def test_lattice_prefers_closed_quotations():
+    cut = lambda t: [t[a:b] for a, b in sentences.split(t)]
+    assert cut('He said "Stop. Wait." and left. Then "all. was" still. End.') == ['He said "Stop. Wait." and left.', 'Then "all. was" still.', "End."]
+    assert cut('A "mark is lost. Next one. Last.') == ['A "mark is lost.', "Next one.", "Last."]
+    assert cut("It rose (see Fig. 3. There it is.) again. Done.") == ["It rose (see Fig. 3. There it is.) again.", "Done."]
+
+
+def test_scripts_without_stops():
+    """Gaps of Lao, Khmer and Burmese text end a sentence only at a sign; runs are read whole, whatever their length."""
+    cut = lambda t: [t[a:b] for a, b in sentences.split(t)]
+    assert cut("ພວກເຮົາວັດແທກ ແລະບັນທຶກແລ້ວ ດັ່ງນັ້ນຜົນດີ") == ["ພວກເຮົາວັດແທກ ແລະບັນທຶກແລ້ວ", "ດັ່ງນັ້ນຜົນດີ"]
+    assert cut("យើងវាស់ និងកត់ត្រាហើយ ដូច្នេះលទ្ធផលល្អ") == ["យើងវាស់ និងកត់ត្រាហើយ", "ដូច្នេះលទ្ធផលល្អ"]
+    assert cut("ကျွန်ုပ်တို့တိုင်းသည် ရလဒ်ကောင်း") == ["ကျွန်ုပ်တို့တိုင်းသည်", "ရလဒ်ကောင်း"]
+    long = "ก" * 300 + "แล้ว"
+    assert cut(f"{long} ผลดี") == [long, "ผลดี"]

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuswright.operators.skew import skew_join
-from corpuswright.session import materialise
+from corpuswright.session import materialise, release
 
 PIECE = re.compile(r"[぀-ヿ一-鿿]|[^\W\d_]+|\d+|[^\w\s]")
 CJK = re.compile(r"[぀-ヿ一-鿿]")
@@ -392,6 +392,7 @@ def outside_lines(pages: DataFrame, least_pages: int = 3, share: float = 0.5, le
 
     whole = skew_join(read.join(again, "page", "left"), template.select("host", "weight", *columns), ["host"], "weight")
     whole = materialise(whole.select("section_id", "page", "tokens", "code", "again", *columns), "opened")
+    release(read, by_host, often, placed, template)
     sums = whole.mapInPandas(learn, "token long, inside long, outside long, text long, links long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("inside", "outside", "text", "links")])
     kind = F.col("token").bitwiseAND(7)
     lies = F.col("outside") / (F.col("inside") + F.col("outside"))

@@ -42,6 +42,9 @@ from corpuswright.operators.skew import skew_join
 from corpuswright.session import materialise
 
 
+SMALL = 1_000_000  # record numbers that are broadcast
+
+
 class Shingler:
     """Shingle sets as sorted arrays of 64-bit hashes with their counts; word hashes are kept across records."""
 
@@ -109,8 +112,9 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
     return total
 
 
-def shingle_sets(records: DataFrame, n: int, least_words: int, weights: str | None = None) -> DataFrame:
-    """(record_id, key, shingles, counts) of each record that takes part; key identifies the set (with counts, if they weigh)."""
+def shingle_sets(records: DataFrame, n: int, least_words: int, weights: str | None = None, keys_only: bool = False) -> DataFrame:
+    """(record_id, key) of each record that takes part, key identifying its set (with counts, if they weigh); or
+    (id, shingles, counts) in place of the key."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = Shingler(n)
@@ -122,10 +126,17 @@ def shingle_sets(records: DataFrame, n: int, least_words: int, weights: str | No
                     x, c = cut(words_of(t) + body)
                     if len(x):
                         c = c.astype(np.int32) if weights else np.zeros(0, dtype=np.int32)
-                        out.append((i, xxhash.xxh3_128_digest(x.tobytes() + c.tobytes()), x.view(np.int64), c))
-            yield pd.DataFrame(out, columns=["record_id", "key", "shingles", "counts"])
+                        out.append((i, xxhash.xxh3_128_digest(x.tobytes() + c.tobytes())) if keys_only else (i, x.view(np.int64), c))
+            yield pd.DataFrame(out, columns=["record_id", "key"] if keys_only else ["id", "shingles", "counts"])
+
+    texts = records.select("record_id", "title", "abstract").where("record_id is not null and abstract is not null")
+    return texts.mapInPandas(scan, "record_id long, key binary" if keys_only else "id long, shingles array<long>, counts array<int>")
+
 
-    return records.select("record_id", "title", "abstract").where("record_id is not null and abstract is not null").mapInPandas(scan, "record_id long, key binary, shingles array<long>, counts array<int>")
+def of_records(records: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Records in (left_semi) or not in (left_anti) ``ids``; up to ``SMALL`` of them travel to the records, beyond that both are shuffled."""
+    few = ids.limit(SMALL + 1).count() <= SMALL
+    return records.join(F.broadcast(ids) if few else ids, "record_id", how)
 
 
 def bucket_keys(classes: DataFrame, bands: int, width: int) -> DataFrame:
@@ -236,24 +247,25 @@ def candidates(keys: DataFrame, threshold: float, block: int = 1000) -> DataFram
 
 def near_duplicate_classes(records: DataFrame, n: int = 5, threshold: float = 0.8, least_words: int = 20, bands: int = 64, width: int = 4, weights: str | None = None, block: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(members, links): (id, record_id) of each class of equal sets, and verified (a, b) between classes."""
-    sets = materialise(shingle_sets(records, n, least_words, weights), "shingles")
-    classes = sets.groupBy("key").agg(F.min("record_id").alias("id"))
-    members = materialise(sets.select("record_id", "key").join(classes, "key").select("id", "record_id").distinct(), "members")
-    # the class's own record holds its set: the sets are stored once
-    own = members.where("id = record_id").select("id")
-    chosen = sets.join(own, F.col("id") == F.col("record_id")).select("id", "shingles", "counts")
+    records = records.select("record_id", "title", "abstract")
+    keys = materialise(shingle_sets(records, n, least_words, weights, keys_only=True), "keys")
+    classes = keys.groupBy("key").agg(F.min("record_id").alias("id"))
+    members = materialise(keys.join(classes, "key").select("id", "record_id").distinct(), "members")
+    copies = materialise(members.where("id <> record_id").select("record_id").distinct(), "copies")
+    # sets are made anew from the texts where they are needed: they take more room than the texts
+    chosen = shingle_sets(of_records(records, copies, "left_anti"), n, least_words, weights)
     # set sizes need not be comparable where counts weigh
-    found = materialise(candidates(bucket_keys(chosen.dropDuplicates(["id"]), bands, width), 0.0 if weights else threshold, block), "found")
-    ends = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
-    needed = materialise(sets.join(ends, F.col("id") == F.col("record_id")).select("id", "shingles", "counts").dropDuplicates(["id"]), "needed")
+    found = materialise(candidates(bucket_keys(chosen, bands, width), 0.0 if weights else threshold, block), "found")
+    ends = materialise(found.select(F.col("a").alias("record_id")).unionByName(found.select(F.col("b").alias("record_id"))).distinct(), "ends")
+    needed = materialise(shingle_sets(of_records(records, ends, "left_semi"), n, least_words, weights), "needed")
     left, right = (needed.select(F.col("id").alias(k), F.col("shingles").alias(f"set_{k}"), F.col("counts").alias(f"n_{k}")) for k in "ab")
     met = found.join(left, "a").join(right, "b")
     if weights:
         similar = F.pandas_udf(lambda a, x, b, y: pd.Series([probability_jaccard(p, q.astype(float), r, t.astype(float)) for p, q, r, t in zip(a, x, b, y)], dtype=float), "double")
-        return members, met.where(similar("set_a", "n_a", "set_b", "n_b") >= threshold - 1e-9).select("a", "b")
+        return members, met.where(similar("set_a", "n_a", "set_b", "n_b") >= threshold - 1e-9).select("a", "b").distinct()
     both = F.size(F.array_intersect("set_a", "set_b"))
     scored = met.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("any"))
-    return members, scored.where(F.col("both") >= threshold * F.col("any") - 1e-9).select("a", "b")
+    return members, scored.where(F.col("both") >= threshold * F.col("any") - 1e-9).select("a", "b").distinct()
 
 
 def near_duplicate_pairs(records: DataFrame, **options) -> DataFrame:

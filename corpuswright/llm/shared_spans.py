@@ -159,13 +159,19 @@ def merged(parts: list[bytes]) -> bytes:
     return zlib.compress(one.tobytes() + two.tobytes(), 1)
 
 
+def seen_again(part: bytes) -> bytes:
+    """The plane of what was seen more than once, of a merged block."""
+    raw = zlib.decompress(part)
+    return zlib.compress(raw[len(raw) // 2 :], 1)
+
+
 def repeated_filter(rows: list[tuple[int, bytes]], bits: int, depth: int) -> list[np.ndarray]:
     """Packed ``two`` plane of each row."""
     planes = [np.zeros(max(1, (1 << bits) // 8), dtype=np.uint8) for _ in range(depth)]
     for key, part in rows:
         raw = np.frombuffer(zlib.decompress(part), dtype=np.uint8)
         at = (key & (1 << 40) - 1) // 8
-        planes[key >> 40][at : at + len(raw) // 2] = raw[len(raw) // 2 :]
+        planes[key >> 40][at : at + len(raw)] = raw
     return planes
 
 
@@ -241,7 +247,9 @@ def shared_spans(documents: DataFrame, length: int = 320, gram: int | None = Non
     merge_udf = F.pandas_udf(merge, "binary")
     parts = texts.select("text").mapInPandas(count, "key long, part binary").withColumn("salt", F.spark_partition_id() % 32)
     sketch = parts.groupBy("key", "salt").agg(merge_udf("part").alias("part")).groupBy("key").agg(merge_udf("part").alias("part"))
-    planes = spark.sparkContext.broadcast(repeated_filter([(r.key, bytes(r.part)) for r in sketch.collect()], bits, depth))
+    # only what was seen again goes to the driver: at most 2 ** max_bits / 8 bytes a row of the sketch
+    again = F.pandas_udf(lambda part: part.map(seen_again), "binary")
+    planes = spark.sparkContext.broadcast(repeated_filter([(r.key, bytes(r.part)) for r in sketch.select("key", again("part").alias("part")).collect()], bits, depth))
 
     def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep = planes.value

@@ -407,7 +407,7 @@ def test_saturating_sketch_never_underestimates():
     for s in (a, b):
         for k, p in s.blocks():
             parts.setdefault(k, []).append(p)
-    planes = shared_spans.repeated_filter([(k, shared_spans.merged(p)) for k, p in parts.items()], 10, 2)
+    planes = shared_spans.repeated_filter([(k, shared_spans.seen_again(shared_spans.merged(p))) for k, p in parts.items()], 10, 2)
     assert shared_spans.estimated_repeated(keys[2000:3000], planes, 10).all()
 
 

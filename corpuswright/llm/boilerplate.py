@@ -302,25 +302,22 @@ def outside_lines(pages: DataFrame, least_pages: int = 3, share: float = 0.5, le
                 tokens, counts, code = encoded(text, host, name)
                 if code:
                     key = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=sid & (2**63 - 1)) - 2**63
-                    out.append((sid, key, host, lang, tokens, counts, code))
+                    out.append((sid, key, xxhash.xxh64_intdigest(host) - 2**63 if host else 0, lang, tokens, counts, code))
             yield pd.DataFrame(out, columns=["section_id", "page", "host", "lang", "tokens", "counts", "code"])
 
-    read = materialise(base.mapInPandas(scan, "section_id long, page long, host string, lang string, tokens array<long>, counts array<int>, code array<int>"), "pages")
+    read = materialise(base.mapInPandas(scan, "section_id long, page long, host long, lang string, tokens array<long>, counts array<int>, code array<int>"), "pages")
 
-    # how often each token occurs by host and language; combined before the shuffle
-    seen = read.select("page", "host", "lang", F.explode(F.arrays_zip("tokens", "counts")).alias("t")).select("page", "host", "lang", F.col("t.tokens").alias("token"), F.col("t.counts").alias("n"))
-    by_host = seen.groupBy("token", "host", "lang").agg(F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("support"))
-    by_host = materialise(by_host.groupBy("token", "host").agg(F.bit_xor("vector").alias("vector"), F.sum("support").alias("support"), F.collect_list(F.struct("lang", "support")).alias("langs")), "tokens")
+    # how often each token occurs on the pages of a host (0: no host); combined before the shuffle
+    seen = read.select("page", "host", F.explode(F.arrays_zip("tokens", "counts")).alias("t")).select("page", "host", F.col("t.tokens").alias("token"), F.col("t.counts").alias("n"))
+    by_host = materialise(seen.groupBy("token", "host").agg(F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("support")), "tokens")
     enough = max(least_pages, least_share * read.count())
-    known = by_host.groupBy("token").agg(F.sum("support").alias("pages"), F.count_if(F.col("host") != "").alias("hosts")).where(F.col("pages") >= enough)
-    mixed = by_host.select("token", F.explode("langs").alias("l")).where("l.lang <> ''").groupBy("token", "l.lang").agg(F.sum("l.support").alias("n"))
-    mixed = mixed.groupBy("token").agg(F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("minor")).where((F.col("all") >= enough) & (F.col("minor") >= 3) & (F.col("minor") >= least_mix * F.col("all")))
-    known = materialise(known.join(mixed.select("token", F.lit(True).alias("mixed")), "token", "left"), "known")
+    known = by_host.groupBy("token").agg(F.sum("support").alias("pages"), F.count_if(F.col("host") != 0).alias("hosts")).where(F.col("pages") >= enough)
+    known = materialise(known, "known")
 
     # templates of hosts: frequent classes, at most 1 / share times the tokens of an average page
-    sizes = read.where("host <> ''").groupBy("host").agg(F.count("*").alias("weight")).where(F.col("weight") >= least_pages)
+    sizes = read.where("host <> 0").groupBy("host").agg(F.count("*").alias("weight")).where(F.col("weight") >= least_pages)
     sizes = materialise(sizes, "hosts")
-    often = by_host.where((F.col("host") != "") & (F.col("support") >= least_pages)).join(sizes, "host").where(F.col("support") >= share * F.col("weight"))
+    often = by_host.where((F.col("host") != 0) & (F.col("support") >= least_pages)).join(sizes, "host").where(F.col("support") >= share * F.col("weight"))
     often = often.groupBy("host", "weight").agg(F.collect_list(F.struct("token", "vector", "support")).alias("frequent"))
     often = materialise(often.select("host", "weight", F.col("frequent.token").alias("f_token"), F.col("frequent.vector").alias("f_class"), F.col("frequent.support").alias("f_support")), "frequent")
 
@@ -353,7 +350,7 @@ def outside_lines(pages: DataFrame, least_pages: int = 3, share: float = 0.5, le
                 out += [(host, 0, 0, g, g, n) for g, n in prose.items()]
             yield pd.DataFrame(out, columns=["host", "class", "order", "low", "high", "letters"])
 
-    placed = skew_join(read.select("host", "tokens", "code"), often, ["host"], "weight").mapInPandas(nest, "host string, class long, order long, low int, high int, letters long")
+    placed = skew_join(read.select("host", "tokens", "code"), often, ["host"], "weight").mapInPandas(nest, "host long, class long, order long, low int, high int, letters long")
     placed = placed.groupBy("host", "class", F.when(F.col("letters") > 0, F.col("low")).alias("gap"))
     placed = materialise(placed.agg((F.min("order") == F.max("order")).alias("ordered"), (F.min("low") == F.max("high")).alias("nested"), F.sum("letters").alias("letters")), "placed")
     valid = placed.where("gap is null").groupBy("host").agg(F.collect_list(F.struct("class", "ordered", "nested")).alias("v"))
@@ -365,9 +362,10 @@ def outside_lines(pages: DataFrame, least_pages: int = 3, share: float = 0.5, le
     bare = read.select("host").distinct().join(template.select("host"), "host", "left_anti").join(read.groupBy("host").agg(F.count("*").alias("weight")), "host")
     template = materialise(template.unionByName(bare, allowMissingColumns=True), "templates")
 
-    tokens = read.select("page", F.explode("tokens").alias("token"))
-    marks = skew_join(tokens, known.select("token", "hosts", F.coalesce("mixed", F.lit(False)).alias("mixed"), F.col("pages").alias("weight")), ["token"], "weight")
-    marks = materialise(marks.select("page", "token"), "marks")
+    tokens = read.select("page", "lang", F.explode("tokens").alias("token"))
+    marks = materialise(skew_join(tokens, known.select("token", F.col("pages").alias("weight")), ["token"], "weight"), "marks")
+    mixed = marks.where("lang <> ''").groupBy("token", "lang").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("minor"))
+    mixed = mixed.where((F.col("all") >= enough) & (F.col("minor") >= 3) & (F.col("minor") >= least_mix * F.col("all"))).select("token", F.lit(True).alias("mixed"))
     again = marks.groupBy("page").agg(F.collect_set("token").alias("again"))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -398,10 +396,10 @@ def outside_lines(pages: DataFrame, least_pages: int = 3, share: float = 0.5, le
     lies = F.col("outside") / (F.col("inside") + F.col("outside"))
     least = F.when(kind == SKELETON, 0.9).when(kind.isin(CLOSING, FIRST_WORDS, LAST_WORDS), 0.7).otherwise(0.45)
     words = ~kind.isin(SKELETON) & F.coalesce("mixed", F.lit(False))
-    roles = sums.where("inside + outside > 0").join(known.where(F.col("hosts") >= least_hosts), "token")
+    roles = sums.where("inside + outside > 0").join(known.where(F.col("hosts") >= least_hosts), "token").join(mixed, "token", "left")
     roles = roles.withColumn("role", F.when((lies >= least) | words, "T").when(lies <= 0.3, "A")).where("role is not null")
     roles = materialise(roles.select("token", "role", (F.col("links") > F.col("text")).alias("links"), F.col("pages").alias("weight")), "roles")
-    mine = skew_join(marks, roles, ["token"], "weight").groupBy("page").agg(F.collect_set(F.struct("token", "role", "links")).alias("r"))
+    mine = skew_join(marks.select("page", "token"), roles, ["token"], "weight").groupBy("page").agg(F.collect_set(F.struct("token", "role", "links")).alias("r"))
     mine = mine.select("page", F.col("r.token").alias("r_token"), F.col("r.role").alias("r_role"), F.col("r.links").alias("r_links"))
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

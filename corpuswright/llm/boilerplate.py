@@ -310,9 +310,11 @@ def outside_lines(pages: DataFrame, least_pages: int = 3, share: float = 0.5, le
     # how often each token occurs on the pages of a host (0: no host); combined before the shuffle
     seen = read.select("page", "host", F.explode(F.arrays_zip("tokens", "counts")).alias("t")).select("page", "host", F.col("t.tokens").alias("token"), F.col("t.counts").alias("n"))
     by_host = materialise(seen.groupBy("token", "host").agg(F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("support")), "tokens")
-    enough = max(least_pages, least_share * read.count())
+    pages_in_all = read.count()
+    enough = max(least_pages, least_share * pages_in_all)
     known = by_host.groupBy("token").agg(F.sum("support").alias("pages"), F.count_if(F.col("host") != 0).alias("hosts")).where(F.col("pages") >= enough)
     known = materialise(known, "known")
+    repeats = known.agg(F.sum("pages")).first()[0] or 0
 
     # templates of hosts: frequent classes, at most 1 / share times the tokens of an average page
     sizes = read.where("host <> 0").groupBy("host").agg(F.count("*").alias("weight")).where(F.col("weight") >= least_pages)
@@ -350,7 +352,7 @@ def outside_lines(pages: DataFrame, least_pages: int = 3, share: float = 0.5, le
                 out += [(host, 0, 0, g, g, n) for g, n in prose.items()]
             yield pd.DataFrame(out, columns=["host", "class", "order", "low", "high", "letters"])
 
-    placed = skew_join(read.select("host", "tokens", "code"), often, ["host"], "weight").mapInPandas(nest, "host long, class long, order long, low int, high int, letters long")
+    placed = skew_join(read.select("host", "tokens", "code"), often, ["host"], "weight", pages_in_all).mapInPandas(nest, "host long, class long, order long, low int, high int, letters long")
     placed = placed.groupBy("host", "class", F.when(F.col("letters") > 0, F.col("low")).alias("gap"))
     placed = materialise(placed.agg((F.min("order") == F.max("order")).alias("ordered"), (F.min("low") == F.max("high")).alias("nested"), F.sum("letters").alias("letters")), "placed")
     valid = placed.where("gap is null").groupBy("host").agg(F.collect_list(F.struct("class", "ordered", "nested")).alias("v"))
@@ -363,7 +365,7 @@ def outside_lines(pages: DataFrame, least_pages: int = 3, share: float = 0.5, le
     template = materialise(template.unionByName(bare, allowMissingColumns=True), "templates")
 
     tokens = read.select("page", "lang", F.explode("tokens").alias("token"))
-    marks = materialise(skew_join(tokens, known.select("token", F.col("pages").alias("weight")), ["token"], "weight"), "marks")
+    marks = materialise(skew_join(tokens, known.select("token", F.col("pages").alias("weight")), ["token"], "weight", repeats), "marks")
     mixed = marks.where("lang <> ''").groupBy("token", "lang").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("minor"))
     mixed = mixed.where((F.col("all") >= enough) & (F.col("minor") >= 3) & (F.col("minor") >= least_mix * F.col("all"))).select("token", F.lit(True).alias("mixed"))
     again = marks.groupBy("page").agg(F.collect_set("token").alias("again"))
@@ -388,7 +390,7 @@ def outside_lines(pages: DataFrame, least_pages: int = 3, share: float = 0.5, le
                             tally.setdefault(int(ts[x.whole]), [0, 0, 0, 0])[2 + (kinds[k + 1] is None)] += 1
             yield pd.DataFrame([(t, *v) for t, v in tally.items()], columns=["token", "inside", "outside", "text", "links"])
 
-    whole = skew_join(read.join(again, "page", "left"), template.select("host", "weight", *columns), ["host"], "weight")
+    whole = skew_join(read.join(again, "page", "left"), template.select("host", "weight", *columns), ["host"], "weight", pages_in_all)
     whole = materialise(whole.select("section_id", "page", "tokens", "code", "again", *columns), "opened")
     release(read, by_host, often, placed, template)
     sums = whole.mapInPandas(learn, "token long, inside long, outside long, text long, links long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("inside", "outside", "text", "links")])
@@ -399,7 +401,7 @@ def outside_lines(pages: DataFrame, least_pages: int = 3, share: float = 0.5, le
     roles = sums.where("inside + outside > 0").join(known.where(F.col("hosts") >= least_hosts), "token").join(mixed, "token", "left")
     roles = roles.withColumn("role", F.when((lies >= least) | words, "T").when(lies <= 0.3, "A")).where("role is not null")
     roles = materialise(roles.select("token", "role", (F.col("links") > F.col("text")).alias("links"), F.col("pages").alias("weight")), "roles")
-    mine = skew_join(marks.select("page", "token"), roles, ["token"], "weight").groupBy("page").agg(F.collect_set(F.struct("token", "role", "links")).alias("r"))
+    mine = skew_join(marks.select("page", "token"), roles, ["token"], "weight", repeats).groupBy("page").agg(F.collect_set(F.struct("token", "role", "links")).alias("r"))
     mine = mine.select("page", F.col("r.token").alias("r_token"), F.col("r.role").alias("r_role"), F.col("r.links").alias("r_links"))
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

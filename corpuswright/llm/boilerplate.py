@@ -54,7 +54,7 @@ SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 ITEM = re.compile(r"\s{2,}|\s[|·/•]\s|\]\([^)]*\)\s*\[?|^\[|\]\([^)]*\)$")
 INNER_END = re.compile(r"[.!?]\s+\S|[。！？]")
 END = re.compile(r"[.!?。！？؟।][\"”’»)\]」』]*\s*$")
-MARK = re.compile(r"[^\w\s]")
+DIGIT = re.compile(r"\d")
 NUMBER = re.compile(r"^\W*\d[\d.,]*\W*$")
 # Marks inside phrases and numbers; they neither close an opening nor open a closing.
 INNER_MARKS = set("-'’,.，、。・％%()（）+=")
@@ -75,7 +75,7 @@ def pieces(text: str) -> list[str]:
 
 def letters(text: str) -> int:
     """Length of a line; a character of a dense script counts twice."""
-    return len(text) + len(CJK.findall(text))
+    return len(text) if text.isascii() else len(text) + len(CJK.findall(text))
 
 
 @lru_cache(maxsize=65_536)
@@ -84,29 +84,35 @@ def line_tokens(low: str, ends: bool) -> tuple[int, tuple[tuple[int, int], ...],
     all_pieces = pieces(low)
     if not all_pieces:
         return None
+    whole = token(WHOLE, all_pieces)
     segments = []
-    for item in ITEM.split(low):
-        for s in SENTENCE.split(item or ""):
+    parts = [s for item in ITEM.split(low) for s in SENTENCE.split(item or "")]
+    if parts == [low]:
+        segments = [(whole, len(all_pieces))] if any(p[0].isalnum() for p in all_pieces) else []
+    else:
+        for s in parts:
             ps = pieces(s)
             if any(p[0].isalnum() for p in ps):
                 segments.append((token(WHOLE, ps), len(ps)))
     edges = []
-    first = next((i for i, p in enumerate(all_pieces[:6]) if p not in INNER_MARKS and MARK.match(p)), None)
+    first = next((i for i, p in enumerate(all_pieces[:6]) if not p[0].isalnum() and p not in INNER_MARKS), None)
     if first is not None and len(all_pieces) > first + 1:
         edges.append(token(OPENING, all_pieces[: first + 1]))
     long = ends and len(all_pieces) > 8 and not any(CJK.match(p) for p in all_pieces[:4])
     tail = all_pieces[:-1] if ends else all_pieces
-    last = next((i for i in range(len(tail) - 1, max(len(tail) - 7, 0), -1) if tail[i] not in INNER_MARKS and tail[i] not in ":：”\"" and MARK.match(tail[i])), None)
+    last = next((i for i in range(len(tail) - 1, max(len(tail) - 7, 0), -1) if not tail[i][0].isalnum() and tail[i] not in INNER_MARKS and tail[i] not in ":：”\""), None)
     if last is not None:
         edges.append(token(CLOSING, all_pieces[last:]))
     if long:
         edges += [token(FIRST_WORDS, all_pieces[:4]), token(LAST_WORDS, all_pieces[-5:])]
     bones: list[str] = []
     for p in all_pieces:
-        b = p if p == "0" or MARK.match(p) else "*"
+        b = p if p == "0" or not p[0].isalnum() else "*"
         if not bones or bones[-1] != b or b not in "*0":
             bones.append(b)
-    return token(WHOLE, all_pieces), tuple(segments), tuple(edges), token(SKELETON, bones) if len(bones) <= 9 else 0
+            if len(bones) > 9:
+                break
+    return whole, tuple(segments), tuple(edges), token(SKELETON, bones) if len(bones) <= 9 else 0
 
 
 def page_host(url: str | None) -> tuple[str, str]:
@@ -142,7 +148,8 @@ def encoded(text: str, host: str, name: str) -> tuple[list[int], list[int], list
         low = line.lower()
         if host and name in low:
             low = low.replace(host, " HOST ").replace(name, " SITE ")
-        low = USER.sub("USER", low)
+        if DIGIT.search(low):
+            low = USER.sub("USER", low)
         ends = bool(END.search(line))
         size = letters(line)
         t = line_tokens(low, ends)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuswright.functions.stem import ascii_words, stemmed
 from corpuswright.functions.text import words
 from corpuswright.lexicon import SEVERITIES
 from corpuswright.operators.ranking import distributed_rank
@@ -79,11 +80,12 @@ def grams(words_: Column, n: int) -> Column:
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words_, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def rouge_n(pairs: DataFrame, key: str, candidate: str, reference: str, n: int) -> DataFrame:
-    """(key, overlap, candidate_grams, reference_grams, f1): clipped multiset overlap of n-grams."""
+def rouge_n(pairs: DataFrame, key: str, candidate: str, reference: str, n: int, stems: bool = False) -> DataFrame:
+    """(key, overlap, candidate_grams, reference_grams, f1): clipped multiset overlap of n-grams, of words or of their stems."""
+    tokens = (lambda c: stemmed(ascii_words(F.col(c)))) if stems else (lambda c: words(F.col(c)))
     sides = []
     for side, c in ((0, candidate), (1, reference)):
-        flat = pairs.select(key, words(F.col(c)).alias("_w")).select(key, F.explode(grams(F.col("_w"), n)).alias("_gram"))
+        flat = pairs.select(key, tokens(c).alias("_w")).select(key, F.explode(grams(F.col("_w"), n)).alias("_gram"))
         sides.append(flat.groupBy(key, "_gram").agg(F.count("*").alias("_n")).select(key, "_gram", *[(F.col("_n") if side == k else F.lit(0).cast("long")).alias(f"_{k}") for k in (0, 1)]))
     per = sides[0].unionByName(sides[1]).groupBy(key, "_gram").agg(F.sum("_0").alias("_0"), F.sum("_1").alias("_1"))
     s = per.groupBy(key).agg(F.sum(F.least("_0", "_1")).alias("overlap"), F.sum("_0").alias("candidate_grams"), F.sum("_1").alias("reference_grams"))
@@ -104,14 +106,16 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
-def rouge_l(pairs: DataFrame, key: str, candidate: str, reference: str) -> DataFrame:
-    """(key, lcs, f1) of the word sequences; null texts count as empty."""
+def rouge_l(pairs: DataFrame, key: str, candidate: str, reference: str, stems: bool = False) -> DataFrame:
+    """(key, lcs, f1) of the sequences of words or stems; null texts count as empty."""
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b)])
 
     lcs = F.pandas_udf(run, "int")
-    c, r = words(F.col(candidate)), words(F.col(reference))
+    tokens = (lambda c: stemmed(ascii_words(F.col(c)))) if stems else (lambda c: words(F.col(c)))
+    pairs = pairs.select(key, tokens(candidate).alias("_c"), tokens(reference).alias("_r"))
+    c, r = F.col("_c"), F.col("_r")
     rows = pairs.select(key, F.size(c).alias("n"), F.size(r).alias("m"), lcs(c, r).alias("lcs"))
     return rows.select(key, "lcs", F.when(F.col("n") + F.col("m") > 0, F.lit(2.0) * F.col("lcs") / (F.col("n") + F.col("m"))).otherwise(F.lit(0.0)).alias("f1"))
 

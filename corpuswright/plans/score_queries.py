@@ -374,6 +374,15 @@ def q43c_rougel(spark: SparkSession, d: str) -> DataFrame:
     return analysis.rouge_l(table(spark, d, "papers"), "record_id", "title", "abstract").withColumn("f1", F.round("f1", 6))
 
 
+@query()
+def q43d_rouge_stems(spark: SparkSession, d: str) -> DataFrame:
+    """ROUGE-1, ROUGE-2 and ROUGE-L of stems: title against abstract."""
+    rows = table(spark, d, "papers").select("record_id", "title", "abstract")
+    one, two = (analysis.rouge_n(rows, "record_id", "title", "abstract", n, stems=True).select("record_id", F.round("f1", 6).alias(f"rouge{n}")) for n in (1, 2))
+    longest = analysis.rouge_l(rows, "record_id", "title", "abstract", stems=True).select("record_id", F.round("f1", 6).alias("rouge_l"))
+    return longest.join(one, "record_id", "left").join(two, "record_id", "left").na.fill(0.0)
+
+
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT DISTINCT event_id, ts, event_type, value FROM events) GROUP BY ALL")
 def q44_windowed(spark: SparkSession, d: str) -> DataFrame:
     """Extension: hourly counts of the event stream, the batch form of the streaming plan."""

@@ -462,3 +462,15 @@ def test_rank_keeps_null_keys(spark):
     df = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a")], "i int, g string")
     got = sorted((r.i, r.g, r["rank"]) for r in distributed_rank(df, ["g"], ["i"]).collect())
     assert got == [(1, None, 1), (2, None, 2), (3, "a", 1), (4, "a", 2)]
+
+
+def test_stems(spark):
+    """Worked examples of the published rules, and ROUGE of stems."""
+    from corpuswright.functions.stem import stem
+
+    pairs = "caresses caress ponies poni ties tie cats cat agreed agre plastered plaster motoring motor conflated conflat hopping hop falling fall filing file happy happi relational relat conditional condit rational ration digitizer digit operator oper feudalism feudal triplicate triplic formalize formal electrical electr hopefulness hope revival reviv allowance allow inference infer adjustable adjust probate probat rate rate cease ceas controlling control roll roll sky sky dying dy"
+    words = pairs.split()
+    assert {w: stem(w) for w in words[::2]} == dict(zip(words[::2], words[1::2]))
+    df = spark.createDataFrame([(1, "Relations hopping", "relational hop test"), (2, None, "x")], "k int, a string, b string")
+    assert {r.k: (r.overlap, round(r.f1, 3)) for r in analysis.rouge_n(df, "k", "a", "b", 1, stems=True).collect()} == {1: (2, 0.8), 2: (0, 0.0)}
+    assert {r.k: r.lcs for r in analysis.rouge_l(df, "k", "a", "b", stems=True).collect()} == {1: 2, 2: 0}

@@ -50,6 +50,15 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+# Characters of the Unicode class Zs.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def squeeze_plain(text: Column) -> Column:
+    """As ``squeeze``, with DuckDB's white space: no vertical tab inside, no blank of any width outside."""
+    return F.trim(F.regexp_replace(text, r"[\t\n\f\r ]+", " "), F.lit(BLANKS))
+
+
 def squeeze_lines(text: Column) -> Column:
     """White space within lines to single blanks, at most one blank line between paragraphs."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n\s*\n\s*", "\n\n"))
